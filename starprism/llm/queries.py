@@ -2,13 +2,29 @@
 
 from __future__ import annotations
 
+from starprism.llm import langid, packing, simhash, tokenfiles, toxicity
 from starprism.llm.common import table
-from starprism.llm.packing import op1
 
 
 def op1_sum_of_squares_packing(spark, sf_dir):
-    return op1(table(spark, sf_dir, "documents"))
+    return packing.op1(table(spark, sf_dir, "documents"))
 
 
-LLM_QUERIES = {"op1_sum_of_squares_packing": op1_sum_of_squares_packing}
+def op3_simhash_multi_index(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op5_toxicity_bigru(spark, sf_dir):
+    return toxicity.op5(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_language_bigru(spark, sf_dir):
+    return langid.op6(table(spark, sf_dir, "documents"))
+
+
+def op10_wavelet_token_files(spark, sf_dir):
+    return tokenfiles.op10(table(spark, sf_dir, "documents"))
+
+
+LLM_QUERIES = {f.__name__: f for f in (op1_sum_of_squares_packing, op3_simhash_multi_index, op5_toxicity_bigru, op6_language_bigru, op10_wavelet_token_files)}
 LLM_ORACLES: dict[str, str] = {}
