@@ -48,7 +48,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def batches(spark: SparkSession, rows: int = 1000) -> None:
+def batches(spark: SparkSession, rows: int = 3000) -> None:
     """Arrow batches of at most so many rows, and so many bytes where Spark has the setting: long texts then don't pile up in a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from starprism.llm.common import batches, id_and_text, materialize, texts_of
-from starprism.llm.tokens import Encoder, tokenizer_path
+from starprism.llm.tokens import encoder, tokenizer_path
 
 END_ID = 1
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -74,9 +74,9 @@ def document_pieces(docs: DataFrame, path: str, capacity: int = 4096, ids: bool
     column holds each piece's ids. A null text counts as empty (one piece: the end id alone)."""
 
     def pieces(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path, spaces=False)
+        coder = encoder(path, spaces=False)
         for batch in found:
-            all_ids, ends = encoder.encode(texts_of(batch))
+            all_ids, ends = coder.encode(texts_of(batch))
             n = len(ends) - 1
             whole = np.insert(all_ids.astype("<u4"), ends[1:], END_ID)
             ends = ends + np.arange(n + 1)

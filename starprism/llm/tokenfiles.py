@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from starprism.llm.common import batches, id_and_text, materialize, new_path, texts_of
 from starprism.llm.files import write_file
-from starprism.llm.tokens import Encoder, tokenizer_path
+from starprism.llm.tokens import encoder, tokenizer_path
 from starprism.llm.wavelet import WaveletMatrix
 
 END_ID = 0
@@ -42,7 +42,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str, shard_ids: int =
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
     def shards(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, shard = Encoder(path, spaces=True), TaskContext.get().partitionId(), 0
+        coder, part, shard = encoder(path, spaces=True), TaskContext.get().partitionId(), 0
         ids, lengths, tokens, held = [], [], [], 0
 
         def close() -> pa.RecordBatch:
@@ -52,7 +52,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str, shard_ids: int =
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "shard": pa.array([shard], pa.int64()), "name": [name], "n_docs": pa.array([len(ids)], pa.int64()), "n_tokens": pa.array([len(every)], pa.int64())})
 
         for batch in found:
-            flat, ends = encoder.encode(texts_of(batch))
+            flat, ends = coder.encode(texts_of(batch))
             flat = np.insert(flat.astype(np.uint32), ends[1:], END_ID)
             ends = ends + np.arange(len(ends))
             at, n = 0, len(ends) - 1

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +26,19 @@ def tokenizer_path(name: str) -> str:
 
     return public_tokenizers.path(name)
 
+_MARKS = ".,;:!?"
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
+
+
+def encoder(path: str, spaces: bool) -> Encoder:
+    """The worker's encoder for a file; its cache serves all tasks that the worker runs."""
+    if (path, spaces) not in _ENCODERS:
+        _ENCODERS[path, spaces] = Encoder(path, spaces)
+    return _ENCODERS[path, spaces]
+
 
 class Encoder:
-    """Ids by a file of the tokenizers library. ``spaces``: whether the ids keep white space (byte tokenizer)."""
+    """Ids by a file of the tokenizers library. ``spaces``: whether ids keep white space (byte tokenizer); if not, the tokenizer lower-cases."""
 
     def __init__(self, path: str, spaces: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -36,7 +47,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.spaces = spaces
-        self.cache = WordCache()
+        self.cache = WordCache(700_000, 20_000_000)
         self._reset()
 
     def _reset(self) -> None:
@@ -46,23 +57,46 @@ class Encoder:
     def _ids(self, words: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
-    def _numbers(self, words: list[str]) -> np.ndarray:
+    def _encoded(self, words: list[str]) -> np.ndarray:
+        """Numbers of words whose ids the tokenizer gives."""
         numbers, new = self.cache.numbers(words)
         if new:
             ids = self._ids(new)
             lengths = np.fromiter(map(len, ids), np.int64, len(ids))
             self.first.add(self.ids.n + np.cumsum(lengths) - lengths)
             self.count.add(lengths)
-            self.ids.add(np.fromiter((i for x in ids for i in x), np.int32, int(lengths.sum())))
+            self.ids.add(np.fromiter(chain.from_iterable(ids), np.int32, int(lengths.sum())))
             if self.spaces:
                 self.odd.add(np.fromiter((_EDGE.search(w[1:] if w[:1] == " " else w) is not None for w in new), bool, len(new)))
         return numbers
 
+    def _numbers(self, words: list[str]) -> np.ndarray:
+        """Numbers of words. A mark after a letter or digit is a part of its own to both tokenizers, so a word that ends
+        in one has the ids of the word without it and those of the mark."""
+        at = self.cache.at
+        fresh = [w for w in words if w not in at]
+        marked = [w for w in fresh if len(w) > 1 and w[-1] in _MARKS and w[-2] < "\u0250" and w[-2].isalnum()]
+        if marked:
+            self._encoded([*_MARKS, *(w[:-1] for w in marked)])
+            skip = set(marked)
+            self._encoded([w for w in fresh if w not in skip])
+            numbers, new = self.cache.numbers(words)
+            both = np.array([(at[w[:-1]], at[w[-1]]) for w in new], np.int64)
+            lengths = self.count.data[both]
+            flat = self.ids.data[spread(self.first.data[both].ravel(), lengths.ravel())]
+            self.first.add(self.ids.n + np.cumsum(lengths.sum(axis=1)) - lengths.sum(axis=1))
+            self.count.add(lengths.sum(axis=1))
+            self.ids.add(flat)
+            if self.spaces:
+                self.odd.add(self.odd.data[both[:, 0]])
+            return numbers
+        return self._encoded(words)
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts (no nulls), and where each text's ids begin, with the end last."""
         if self.cache.full():
             self._reset()
-        parts, offsets = list_parts(pc.split_pattern(texts, " ") if self.spaces else pc.ascii_split_whitespace(texts))
+        parts, offsets = list_parts(pc.split_pattern(texts, " ") if self.spaces else pc.ascii_split_whitespace(pc.ascii_lower(texts)))
         coded = parts.dictionary_encode()
         words = coded.dictionary.to_pylist()
         which = coded.indices.to_numpy()
