@@ -1,8 +1,8 @@
 """Exact token ids of whole texts, with the ids of each distinct word computed once.
 
 Both tokenizers split a text before they merge, and no split spans the places used here: white space for the word
-tokenizer, which drops it, and a single space between two other characters for the byte tokenizer, whose pieces take one
-leading space. So a text's ids are those of its parts, one after another, and parts repeat.
+tokenizer, which drops it; for the byte tokenizer a single space between two other characters, which goes to the part
+after it, and both sides of a single line end between two other characters. So a text's ids are those of its parts, one after another, and parts repeat.
 """
 
 from __future__ import annotations
@@ -18,7 +18,6 @@ import pyarrow.compute as pc
 from starprism.llm.common import Rows, WordCache, list_parts, spread
 
 _SPLIT = re.compile(r"(?<=[^\s\x1c-\x1f\x85]) (?=[^\s\x1c-\x1f\x85])")
-_EDGE = re.compile(r"\A[\s\x1c-\x1f\x85]|[\s\x1c-\x1f\x85]\Z|\A\Z")
 
 
 def tokenizer_path(name: str) -> str:
@@ -27,6 +26,7 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 _MARKS = ".,;:!?"
+_SPACE, _WORD_END = "\u0120", "</w>"  # fixed values: how the two vocabularies write a space and a word's end
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
@@ -37,6 +37,11 @@ def encoder(path: str, spaces: bool) -> Encoder:
     return _ENCODERS[path, spaces]
 
 
+def _odd(part: str) -> bool:
+    """Whether a part is empty or has white space at an end: its text then has runs of white space."""
+    return not part or part[0].isspace() or part[-1].isspace()
+
+
 class Encoder:
     """Ids by a file of the tokenizers library. ``spaces``: whether ids keep white space (byte tokenizer); if not, the tokenizer lower-cases."""
 
@@ -47,6 +52,9 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.spaces = spaces
+        vocabulary = self.tokenizer.get_vocab()
+        self.mark = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.mark[[i for token, i in vocabulary.items() if (token[0] == _SPACE if spaces else token.endswith(_WORD_END))]] = True
         self.cache = WordCache(700_000, 20_000_000)
         self._reset()
 
@@ -54,56 +62,91 @@ class Encoder:
         self.cache.clear()
         self.ids, self.first, self.count, self.odd = Rows((), np.int32), Rows((), np.int64), Rows((), np.int64), Rows((), bool)
 
-    def _ids(self, words: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    def _each(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the words, and how many each has; one call of the tokenizer for each word."""
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), np.int32, int(lengths.sum())), lengths
+
+    def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same by one call for many words: a mark of the vocabulary tells where a word begins (byte tokenizer) or ends.
+        Words of several parts, which may have more than one such mark, go one by one."""
+        ids, lengths = [], []
+        for a in range(0, len(words), 4000):
+            some = words[a : a + 4000]
+            text = "".join(some) if self.spaces else " ".join(some)
+            found = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
+            marks = np.flatnonzero(self.mark[found])
+            if len(marks) == len(some):
+                ids.append(found)
+                lengths.append(np.diff(np.append(marks, len(found))) if self.spaces else np.diff(marks, prepend=-1))
+            else:
+                one, n = self._each(some)
+                ids.append(one)
+                lengths.append(n)
+        return np.concatenate(ids), np.concatenate(lengths)
+
+    def _plain(self, word: str) -> bool:
+        """Whether the word has exactly one mark: a byte tokenizer's part with its space before it; letters alone."""
+        return word[:1] == " " and not _odd(word[1:]) and " " not in word[1:] if self.spaces else word.isalpha() and word.isascii()
 
     def _encoded(self, words: list[str]) -> np.ndarray:
         """Numbers of words whose ids the tokenizer gives."""
-        numbers, new = self.cache.numbers(words)
-        if new:
-            ids = self._ids(new)
-            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-            self.first.add(self.ids.n + np.cumsum(lengths) - lengths)
-            self.count.add(lengths)
-            self.ids.add(np.fromiter(chain.from_iterable(ids), np.int32, int(lengths.sum())))
-            if self.spaces:
-                self.odd.add(np.fromiter((_EDGE.search(w[1:] if w[:1] == " " else w) is not None for w in new), bool, len(new)))
-        return numbers
+        fresh = list(dict.fromkeys(w for w in words if w not in self.cache.at))
+        plain = [w for w in fresh if self._plain(w)]
+        if len(plain) < len(fresh):
+            seen = set(plain)
+            other = [w for w in fresh if w not in seen]
+            self._store(other, *self._each(other))
+        if plain:
+            self._store(plain, *self._ids(plain))
+        return self.cache.numbers(words)[0]
+
+    def _store(self, words: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        self.cache.numbers(words)
+        self.first.add(self.ids.n + np.cumsum(lengths) - lengths)
+        self.count.add(lengths)
+        self.ids.add(ids)
+        if self.spaces:
+            self.odd.add(np.fromiter((_odd(w[1:] if w[:1] in (" ", "\n") else w) for w in words), bool, len(words)))
 
     def _numbers(self, words: list[str]) -> np.ndarray:
         """Numbers of words. A mark after a letter or digit is a part of its own to both tokenizers, so a word that ends
         in one has the ids of the word without it and those of the mark."""
         at = self.cache.at
-        fresh = [w for w in words if w not in at]
-        marked = [w for w in fresh if len(w) > 1 and w[-1] in _MARKS and w[-2] < "\u0250" and w[-2].isalnum()]
+        found = list(map(at.get, words))
+        fresh = [w for w, n in zip(words, found, strict=True) if n is None]
+        if not fresh:
+            return np.array(found, np.int64)
+        marked = [w for w in dict.fromkeys(fresh) if len(w) > 1 and w[-1] in _MARKS and w[-2] < "\u0250" and w[-2].isalnum()]
+        skip = set(marked)
+        self._encoded([*_MARKS, *(w[:-1] for w in marked), *(w for w in fresh if w not in skip)])
+        marked = [w for w in marked if w not in at]
         if marked:
-            self._encoded([*_MARKS, *(w[:-1] for w in marked)])
-            skip = set(marked)
-            self._encoded([w for w in fresh if w not in skip])
-            numbers, new = self.cache.numbers(words)
-            both = np.array([(at[w[:-1]], at[w[-1]]) for w in new], np.int64)
+            both = np.array([(at[w[:-1]], at[w[-1]]) for w in marked], np.int64)
             lengths = self.count.data[both]
-            flat = self.ids.data[spread(self.first.data[both].ravel(), lengths.ravel())]
-            self.first.add(self.ids.n + np.cumsum(lengths.sum(axis=1)) - lengths.sum(axis=1))
-            self.count.add(lengths.sum(axis=1))
-            self.ids.add(flat)
+            ids = self.ids.data[spread(self.first.data[both].ravel(), lengths.ravel())]
+            self.cache.numbers(marked)
+            lengths = lengths.sum(axis=1)
+            self.first.add(self.ids.n + np.cumsum(lengths) - lengths)
+            self.count.add(lengths)
+            self.ids.add(ids)
             if self.spaces:
                 self.odd.add(self.odd.data[both[:, 0]])
-            return numbers
-        return self._encoded(words)
+        return np.fromiter(map(at.__getitem__, words), np.int64, len(words))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts (no nulls), and where each text's ids begin, with the end last."""
         if self.cache.full():
             self._reset()
-        parts, offsets = list_parts(pc.split_pattern(texts, " ") if self.spaces else pc.ascii_split_whitespace(pc.ascii_lower(texts)))
+        parts, offsets = list_parts(pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ") if self.spaces else pc.ascii_split_whitespace(pc.ascii_lower(texts)))
         coded = parts.dictionary_encode()
         words = coded.dictionary.to_pylist()
         which = coded.indices.to_numpy()
         if not self.spaces:
             numbers = self._numbers(words)[which]
         else:
-            numbers = self._numbers([" " + w for w in words])[which]
+            numbers = self._numbers([w if w[:1] == "\n" else " " + w for w in words])[which]
             heads = offsets[:-1]
             odd = self.odd.data[numbers]
             many = np.diff(offsets) > 1

@@ -60,14 +60,14 @@ def windows(ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class WindowNet:
-    """Per word the word's vector and the mean of its character runs' vectors; over a window's words a bidirectional
+    """Per word the word's vector, the mean of its character runs' vectors and the largest of their first coordinates; over a window's words a bidirectional
     network, attention pooling and one logit. A document's logit is its windows' largest."""
 
     def __init__(self, seed: int = 3):
         rng = np.random.default_rng(seed)
-        d, h = WORD_DIM + GRAM_DIM, HIDDEN
-        self.word = (rng.standard_normal((WORD_BUCKETS, WORD_DIM)) * 0.02).astype(np.float32)
-        self.gram = (rng.standard_normal((GRAM_BUCKETS, GRAM_DIM)) * 0.02).astype(np.float32)
+        d, h = WORD_DIM + GRAM_DIM + 1, HIDDEN
+        self.word = np.zeros((WORD_BUCKETS, WORD_DIM), np.float32)  # words and runs never met, or too rare, stay at 0
+        self.gram = np.zeros((GRAM_BUCKETS, GRAM_DIM), np.float32)
         self.p = {
             "in": glorot(rng, d, 6 * h), "b": np.zeros((1, 6 * h), np.float32),
             "uf": glorot(rng, 3 * h, h), "ub": glorot(rng, 3 * h, h),
@@ -78,11 +78,12 @@ class WindowNet:
         """Word and character inputs, (words, dimensions); words are already clean."""
         grams, count = gram_buckets(words)
         at = np.cumsum(count) - count
-        mean = np.zeros((len(words), GRAM_DIM), np.float32)
+        mean, most = np.zeros((len(words), GRAM_DIM), np.float32), np.zeros((len(words), 1), np.float32)
         some = count > 0
         if some.any():
             mean[some] = np.add.reduceat(self.gram[grams], at[some], axis=0) / count[some, None]
-        return np.hstack([self.word[word_buckets(words)], mean])
+            most[some, 0] = np.maximum.reduceat(self.gram[grams, 0], at[some])
+        return np.hstack([self.word[word_buckets(words)], mean, most])
 
     def logits(self, x: np.ndarray, mask: np.ndarray, keep: dict | None = None) -> np.ndarray:
         """One logit a window. x: (T, 6h, n); mask: (T, 1, n)."""
@@ -123,23 +124,44 @@ class WindowNet:
         return out
 
 
-def _log_odds(docs_of: np.ndarray, buckets: np.ndarray, n_buckets: int, label: np.ndarray) -> np.ndarray:
-    """How much more often toxic documents hold a bucket than others, as shrunk log odds; 0 for rare buckets."""
+def _evidence(docs_of: np.ndarray, buckets: np.ndarray, n_buckets: int, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How much more often toxic documents hold a bucket than others, as log odds, or 0 where by the likelihood ratio
+    chance explains it; and which buckets are in enough documents to be trained."""
     pairs = np.unique(docs_of * n_buckets + buckets)
     of, b = pairs // n_buckets, pairs % n_buckets
     toxic = np.bincount(b[label[of] == 1], minlength=n_buckets)
     other = np.bincount(b[label[of] == 0], minlength=n_buckets)
-    n1, n0 = max(1, (label == 1).sum()), max(1, (label == 0).sum())
-    base = (toxic + other + 1e-9) / (n1 + n0)
-    odds = np.log((toxic + 3 * base) / (n1 + 3)) - np.log((other + 3 * base) / (n0 + 3))
-    return np.where(toxic + other >= 4, np.clip(odds, -3, 4), 0).astype(np.float32)
-
-
-def train(texts: list[str], label: np.ndarray, epochs: int = 6, seed: int = 2) -> WindowNet:
-    """Learns from whole documents' labels: each epoch, every document's window with the largest logit (and for documents
+    share = (label == 1).mean()
+    both = np.maximum(toxic + other, 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ratio = np.where(toxic > 0, toxic * np.log(toxic / (both * share)), 0) + np.where(other > 0, other * np.log(other / (both * (1 - share))), 0)
+    sure = np.clip((np.sqrt(2 * np.maximum(ratio, 0)) - 4.5) / 1.5, 0, 1)
+    odds = np.log((toxic + share) / (other + 1 - share) * (1 - share) / share)
+    return (sure * np.clip(odds, -3, 3)).astype(np.float32), toxic + other >= 8
+
+
+def _not_copies(texts: list[str], run: int = 4, least: int = 8) -> list[int]:
+    """The texts that share at most one of their ``least`` smallest hashes of word runs with texts before them: words of
+    one text in many copies would look like evidence."""
+    seen: set[int] = set()
+    kept = []
+    for i, text in enumerate(texts):
+        words = text.split()
+        own = sorted({zlib.crc32(" ".join(words[j : j + run]).encode("utf-8", "surrogatepass")) for j in range(max(1, len(words) - run + 1))})[:least]
+        if len(seen.intersection(own)) < min(2, len(own)):
+            kept.append(i)
+        seen.update(own)
+    return kept
+
+
+def train(texts: list[str], label: np.ndarray, epochs: int = 6, rate: float = 0.05, seed: int = 2) -> WindowNet:
+    """Learns from whole documents' labels, one of each group of copies: each epoch, every document's window with the largest logit (and for documents
     that are not toxic one more, at random) is trained by back-propagation through time. The first coordinates of the
-    word and character vectors begin as log odds of the same documents; all vectors are trained on."""
+    word and character vectors begin as evidence from the same documents; all vectors but those of rare buckets are
+    trained on."""
     net, rng = WindowNet(), np.random.default_rng(seed)
+    kept = _not_copies(texts)
+    texts, label = [texts[i] for i in kept], label[kept]
     flat, ends = list_parts(pc.ascii_split_whitespace(pc.utf8_lower(pa.array(texts, pa.string()))))
     coded = flat.dictionary_encode()
     words = _clean(coded.dictionary.to_pylist())
@@ -148,21 +170,20 @@ def train(texts: list[str], label: np.ndarray, epochs: int = 6, seed: int = 2) -
     wb = word_buckets(words)
     grams, count = gram_buckets(words)
     at = np.cumsum(count) - count
-    word_odds = _log_odds(of_doc, wb[numbers], WORD_BUCKETS, label)
+    word_odds, word_known = _evidence(of_doc, wb[numbers], WORD_BUCKETS, label)
     # a document's character runs: those of its distinct words
     pairs = np.unique(of_doc * len(words) + numbers)
     p_doc, p_word = pairs // len(words), pairs % len(words)
     spread_to = np.repeat(p_doc, count[p_word])
     inside = np.arange(len(spread_to)) - np.repeat(np.cumsum(count[p_word]) - count[p_word], count[p_word])
-    gram_odds = _log_odds(spread_to, grams[np.repeat(at[p_word], count[p_word]) + inside], GRAM_BUCKETS, label)
-    net.word[:, 0], net.gram[:, 0] = word_odds / 2, gram_odds / 2
+    gram_odds, gram_known = _evidence(spread_to, grams[np.repeat(at[p_word], count[p_word]) + inside], GRAM_BUCKETS, label)
+    net.word[:, 0], net.gram[:, 0] = word_odds, gram_odds
     start, size, of = windows(ends)
     hint = net.inputs(words)
-    hint = (hint[:, 0] + hint[:, WORD_DIM])[numbers]
+    hint = (hint[:, 0] + hint[:, -1])[numbers]
     total = np.concatenate([[0], np.cumsum(np.maximum(hint, 0))])
     logit = (total[start + size] - total[start]).astype(np.float32)
     adam, steps = Adam(net.p, 0.02), np.arange(WINDOW)
-    weight = np.where(label == 1, min(4.0, max(1.0, (label == 0).sum() / max(1, (label == 1).sum()) / 2)), 1.0)
     for epoch in range(epochs):
         if epoch:
             logit = net.scores(net.projected(words), start, size, numbers)
@@ -170,7 +191,7 @@ def train(texts: list[str], label: np.ndarray, epochs: int = 6, seed: int = 2) -
         firsts = np.searchsorted(of, np.arange(len(texts)))
         n_win = np.bincount(of, minlength=len(texts))
         extra = (firsts + (rng.random(len(texts)) * n_win).astype(np.int64))[label == 0]
-        chosen = rng.permutation(np.concatenate([best, best[label[of[best]] == 1], extra]))
+        chosen = rng.permutation(np.concatenate([best, extra]))
         for a in range(0, len(chosen), 128):
             w = chosen[a : a + 128]
             live = (steps[:, None] < size[w]).astype(np.float32)[:, None, :]
@@ -181,7 +202,7 @@ def train(texts: list[str], label: np.ndarray, epochs: int = 6, seed: int = 2) -
             x = (x_in @ net.p["in"] + net.p["b"])[back.reshape(which.shape)].transpose(0, 2, 1)
             keep: dict = {}
             y = label[of[w]]
-            d = ((sigmoid(net.logits(x, live, keep)) - y) * weight[of[w]] / len(w)).astype(np.float32)
+            d = ((sigmoid(net.logits(x, live, keep)) - y) / len(w)).astype(np.float32)
             g, dx = net.grads(x, live, d, keep)
             d_rows = np.zeros((len(used), dx.shape[1]), np.float32)
             np.add.at(d_rows, back.reshape(-1), dx.transpose(0, 2, 1).reshape(-1, dx.shape[1]))
@@ -189,8 +210,9 @@ def train(texts: list[str], label: np.ndarray, epochs: int = 6, seed: int = 2) -
             d_in = d_rows @ net.p["in"].T
             adam.step(g)
             own_grams, own_count = gram_buckets(own)
-            np.add.at(net.word, word_buckets(own), -0.3 * d_in[:, :WORD_DIM])
-            np.add.at(net.gram, own_grams, -0.3 * np.repeat(d_in[:, WORD_DIM:] / np.maximum(own_count, 1)[:, None], own_count, axis=0))
+            own_words = word_buckets(own)
+            np.add.at(net.word, own_words, -rate * d_in[:, :WORD_DIM] * word_known[own_words, None])
+            np.add.at(net.gram, own_grams, -rate * np.repeat(d_in[:, WORD_DIM:-1] / np.maximum(own_count, 1)[:, None], own_count, axis=0) * gram_known[own_grams, None])
     return net
 
 
