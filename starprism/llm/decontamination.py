@@ -110,12 +110,12 @@ def proximity_hits(docs: DataFrame, items: DataFrame, slop: int = 8, rare: int =
     return lead.join(rest, [key, "item_id", "cell"]).where(F.abs(F.col("at") - F.col("shift")) <= slop).groupBy(key, "item_id", "at").agg((F.count_distinct("rank") + 1).alias("n_terms"))
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, least_items: int = 2) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, least_items: int = 2, keys: bool = False) -> DataFrame:
     """A row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
     Null and empty texts have no words. Documents are told apart by id and text together, so null ids and repeated rows
     keep their rows and results. Items with a null id or without words count for nothing; repeated items count once.
-    Empty tables give no rows, or rows without hits.
+    Empty tables give no rows, or rows without hits. With ``keys`` a column k holds xxhash64(doc_id, text).
     """
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("k", F.xxhash64("doc_id", "text"))
     hits = phrase_hits(keyed.select("k", "text"), items, window)
@@ -124,5 +124,20 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, least
     rows = keyed.select("doc_id", "k", F.size(_words(F.col("text"))).cast("long").alias("n_words"))
     ids = F.coalesce(F.col("ids"), F.array().cast("array<string>"))
     return rows.join(per_doc, "k", "left").select(
-        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (F.size(ids) >= least_items).alias("contaminated")
+        *["k"] * keys, "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (F.size(ids) >= least_items).alias("contaminated")
     )
+
+
+ORACLE = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+bw AS (SELECT item_id, least(len(w), 8) AS n, unnest(generate_series(1, greatest(len(w) - 7, 1))) AS s, w FROM b WHERE len(w) > 0),
+win AS (SELECT DISTINCT item_id, n, array_to_string(w[s : s + n - 1], ' ') AS t FROM bw),
+sizes AS (SELECT DISTINCT n FROM win),
+dw AS (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS s FROM d, sizes WHERE len(w) >= n),
+hit AS (SELECT dw.doc_id, win.item_id, dw.s, dw.n FROM dw JOIN win ON dw.n = win.n AND array_to_string(dw.w[dw.s : dw.s + dw.n - 1], ' ') = win.t),
+places AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(s, s + n - 1)) AS p FROM hit) GROUP BY doc_id),
+items AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, sha256(string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR))) AS h FROM hit GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(places.n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(items.n_items, 0) AS BIGINT) AS n_items, coalesce(items.h, sha256('')) AS items_sha256, coalesce(items.n_items, 0) >= 2 AS contaminated
+FROM d LEFT JOIN places USING (doc_id) LEFT JOIN items USING (doc_id)
+"""

@@ -111,8 +111,9 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, block: int = 1024,
     """query_id, rank, vec_id, score: for each row whose vec_id is divisible by ``every``, the ``k`` highest integer inner
     products with all other rows (all, if fewer); ties go to the smaller vec_id.
 
-    Vectors that are null or hold null, NaN or infinite components, and null ids, take no part; repeated rows do, each
-    on its own, but never against their own id. Vectors of different lengths have no product and aren't paired.
+    Vectors that are null or hold null, NaN or infinite components, empty ones and null ids take no part. Rows repeated
+    in full count once; an id with several vectors is one query, with the scores of all its vectors, and several
+    candidates, never its own. Vectors of different lengths have no product and aren't paired.
 
     Rows near one of a bounded number of ``pivots`` (the first by hash) share blocks of at most ``block`` rows. Blocks of
     queries meet groups of ``together`` blocks; within such a task a query takes the blocks by falling threshold and
@@ -121,7 +122,7 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, block: int = 1024,
     spark = vectors.sparkSession
     cells = F.col("embedding").cast("array<double>")
     good = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where(~F.exists(cells, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))).where(F.size("embedding") > 0)
-    rows = materialize(good.select(F.col("vec_id").cast("long").alias("vec_id"), cells.alias("cells")), "vectors")
+    rows = materialize(good.select(F.col("vec_id").cast("long").alias("vec_id"), cells.alias("cells")).distinct(), "vectors")
     chosen = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).collect()  # bounded by the parameter
     by_dims: dict[int, np.ndarray] = {}
     for r in chosen:

@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from starprism.llm.common import Rows, WordCache, batches, id_and_text, list_parts, remainder, texts_of
 from starprism.llm.nn import Adam, both_back, both_ways, glorot, sigmoid
@@ -226,11 +227,12 @@ def fit(docs: DataFrame, labels: DataFrame, each: int = 1500, longest: int = 20_
     return train([r[1] for r in rows], np.array([r[2] for r in rows])) if rows else None
 
 
-def score(docs: DataFrame, net: WindowNet | None) -> DataFrame:
+def score(docs: DataFrame, net: WindowNet | None, carry: bool = False) -> DataFrame:
     """doc_id, held_out, score, predicted of whole texts: all overlapping windows are scored, the largest counts.
 
     Null and empty texts are scored as a window without words. A null doc_id isn't held out. Without a trained network
-    all scores are 0. Repeated rows are rows, and an empty table gives an empty one.
+    all scores are 0. Repeated rows are rows, and an empty table gives an empty one. With ``carry`` the documents keep
+    their columns, and score and predicted are added (and replace columns of these names).
     """
     held = docs.sparkSession.sparkContext.broadcast(net)
 
@@ -251,11 +253,14 @@ def score(docs: DataFrame, net: WindowNet | None) -> DataFrame:
                 start, size, of = windows(ends)
                 logit = model.scores(rows.data, start, size, numbers[coded.indices.to_numpy()])
                 out = sigmoid(np.maximum.reduceat(logit, np.searchsorted(of, np.arange(len(ends) - 1))).astype(np.float64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.columns if carry else [batch.column(0)]), pa.array(out)], [*(batch.schema.names if carry else ["doc_id"]), "_score"])
 
     batches(docs.sparkSession)
-    out = id_and_text(docs).mapInArrow(scored, "doc_id long, score double")
-    return out.select("doc_id", F.coalesce(remainder(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    if carry:
+        rows = docs.mapInArrow(scored, StructType([*docs.schema.fields, StructField("_score", DoubleType())]))
+        return rows.withColumns({"score": F.col("_score"), "predicted": (F.col("_score") >= 0.5).cast("int")}).drop("_score")
+    out = id_and_text(docs).mapInArrow(scored, "doc_id long, _score double")
+    return out.select("doc_id", F.coalesce(remainder(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op5(docs: DataFrame, labels: DataFrame) -> DataFrame:
