@@ -82,39 +82,34 @@ def _ball_keys(seg: int, first: int, bits: int, radius: int):
     return F.transform(masks, lambda m: F.struct(F.lit(seg).alias("seg"), _key(F.col("fp"), first, bits).bitwiseXOR(m).alias("key")))
 
 
-def _runs(distance: int):
-    """Links within sorted runs: each fingerprint whose predecessor is near is linked to its run's first one."""
+def _runs(distance: int, back: int = 8):
+    """Links within sorted runs: each fingerprint is linked to the nearest before it, of ``back``, that is near."""
 
     def linked(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, head = None, None
+        fp, seg = np.empty(0, np.int64), np.empty(0, np.int64)
         for batch in found:
-            fp, seg = (batch.column(i).to_numpy() for i in (1, 2))
-            if not len(fp):
-                continue
-            before = np.concatenate([[fp[0] if last is None else last[0]], fp[:-1]])
-            seg_before = np.concatenate([[-1 if last is None else last[1]], seg[:-1]])
-            near = (np.bitwise_count((fp ^ before).view(np.uint64)) <= distance) & (seg == seg_before)
-            start = np.where(near, 0, np.arange(len(fp)))
-            start = np.maximum.accumulate(start)
-            heads = fp[start]
-            if near[0]:
-                heads[: int(np.argmin(near)) if not near.all() else len(near)] = head
-            last, head = (fp[-1], seg[-1]), heads[-1]
-            keep = near & (heads != fp)
-            yield pa.RecordBatch.from_arrays([pa.array(fp[keep]), pa.array(heads[keep])], ["a", "b"])
+            old = len(fp)
+            fp, seg = (np.concatenate([x, batch.column(i).to_numpy()]) for x, i in ((fp, 1), (seg, 2)))
+            to = np.full(len(fp), -1)
+            for lag in range(min(back, len(fp) - 1), 0, -1):
+                near = (np.bitwise_count((fp[lag:] ^ fp[:-lag]).view(np.uint64)) <= distance) & (seg[lag:] == seg[:-lag])
+                to[lag:][near] = np.flatnonzero(near)
+            at = old + np.flatnonzero(to[old:] >= 0)
+            yield pa.RecordBatch.from_arrays([pa.array(fp[at]), pa.array(fp[to[at]])], ["a", "b"])
+            fp, seg = fp[-back:], seg[-back:]
 
     return linked
 
 
-def near_links(marks: DataFrame, distance: int = DISTANCE, pieces: int = 3) -> DataFrame:
+def near_links(marks: DataFrame, distance: int = DISTANCE, pieces: int = 3, crowd: int = 1000) -> DataFrame:
     """Component per fingerprint: fp, label (the smallest ``rep`` of its component). ``marks``: distinct fp with rep.
 
     Exact, by multi-index hashing with two passes that spare dense groups from comparing all pairs:
     1. the fingerprints, sorted by each segment, are linked to near neighbours in that order, which joins most of a
        dense group by few links. No row is tied to a task by its key here, so one huge group is dealt to many tasks;
-    2. each fingerprint enumerates the Hamming balls of its segments and fetches the labels found under these keys.
-       Only table matches with another label than its own are fetched and verified over all 64 bits. Links that the
-       first pass has implied already are left out; every link between different components is found.
+    2. each fingerprint enumerates the Hamming balls of its segments, fetches the table matches under these keys and
+       verifies all 64 bits, for matches of another component alone: links within one tell nothing new. Under keys
+       with over ``crowd`` fingerprints it fetches the components' labels first, then only the members of others.
     """
     cut = segments(distance, pieces)
     tables = lambda df, *more: df.select(*more, "fp", F.explode(F.array(*[F.struct(F.lit(i).alias("seg"), _key(F.col("fp"), a, n).alias("key")) for i, (a, n, _) in enumerate(cut)])).alias("t")).select(*more, "fp", "t.seg", "t.key")
@@ -125,9 +120,18 @@ def near_links(marks: DataFrame, distance: int = DISTANCE, pieces: int = 3) -> D
     stored = materialize(tables(labelled, "root"), "tables")
     keys = [_ball_keys(i, *x) for i, x in enumerate(cut)]
     probes = labelled.select("fp", "root", F.explode(F.concat(*keys)).alias("t")).select("fp", "root", "t.seg", "t.key")
-    others = stored.select("seg", "key", F.col("root").alias("other")).distinct()
-    hits = probes.join(others, ["seg", "key"]).where(F.col("root") != F.col("other"))
-    pairs = hits.join(stored.select("seg", "key", F.col("root").alias("other"), F.col("fp").alias("fp2")), ["seg", "key", "other"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= distance)
+    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= distance
+    apart = F.col("root") != F.col("other")
+    members = stored.select("seg", "key", F.col("root").alias("other"), F.col("fp").alias("fp2"))
+    crowded = materialize(stored.groupBy("seg", "key").count().where(F.col("count") > crowd).select("seg", "key"), "crowded")
+    if crowded.take(1):
+        few = members.join(crowded, ["seg", "key"], "left_anti")
+        many = probes.join(crowded, ["seg", "key"], "left_semi")
+        labels_there = members.join(crowded, ["seg", "key"], "left_semi")
+        asked = many.join(labels_there.select("seg", "key", "other").distinct(), ["seg", "key"]).where(apart)
+        pairs = probes.join(few, ["seg", "key"]).where(apart & near).select("root", "other").union(asked.join(labels_there, ["seg", "key", "other"]).where(near).select("root", "other"))
+    else:
+        pairs = probes.join(members, ["seg", "key"]).where(apart & near)
     links = materialize(pairs.select(F.col("root").alias("a"), F.col("other").alias("b")).distinct(), "links")
     roots = materialize(labelled.select(F.col("root").alias("node")).distinct(), "roots")
     second = connected(roots, links).select(F.col("node").alias("root"), F.col("root").alias("top"))
