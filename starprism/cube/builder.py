@@ -46,7 +46,8 @@ def flatten(tables: Tables, model: StarModel, columns: list[str], expressions: d
     """Fact rows of [start, end) joined with their lookups. Catalyst chooses how to join; lookups that are small enough
     by its statistics are broadcast, others shuffled."""
     texts = [*expressions.values(), *([model.condition] if model.condition else [])]
-    used = _used(tables, model, columns, texts)
+    keys = [k for x in model.lookups for k in (*x.join.fact_keys, *x.join.lookup_keys)]
+    used = _used(tables, model, [*columns, *keys, *([model.partition] if model.partition else [])], texts)
     flat = renamed(tables, model.fact, used[model.fact])
     if model.partition and start is not None:
         day = F.col(physical(model.partition))

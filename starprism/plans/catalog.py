@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from starprism.plans import cubes, relational
+
+QUERIES = relational.QUERIES | cubes.QUERIES
+ORACLES = relational.ORACLES | cubes.ORACLES
