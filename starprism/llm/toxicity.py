@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from starprism.llm.common import Rows, WordCache, batches, id_and_text, list_parts, remainder, texts_of
+from starprism.llm.common import Rows, WordCache, batches, id_and_text, list_parts, remainder, spread, texts_of
 from starprism.llm.nn import Adam, both_back, both_ways, glorot, sigmoid
 from starprism.llm.sampling import stratified
 
@@ -77,6 +77,9 @@ class WindowNet:
 
     def inputs(self, words: list[str]) -> np.ndarray:
         """Word and character inputs, (words, dimensions); words are already clean."""
+        return np.concatenate([self._inputs(words[a : a + 10_000]) for a in range(0, len(words), 10_000)]) if words else np.zeros((0, len(self.p["in"])), np.float32)
+
+    def _inputs(self, words: list[str]) -> np.ndarray:
         grams, count = gram_buckets(words)
         at = np.cumsum(count) - count
         mean, most = np.zeros((len(words), GRAM_DIM), np.float32), np.zeros((len(words), 1), np.float32)
@@ -125,20 +128,24 @@ class WindowNet:
         return out
 
 
-def _evidence(docs_of: np.ndarray, buckets: np.ndarray, n_buckets: int, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _evidence(parts: Iterable[tuple[np.ndarray, np.ndarray]], n_buckets: int, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """How much more often toxic documents hold a bucket than others, as log odds, or 0 where by the likelihood ratio
-    chance explains it; and which buckets are in enough documents to be trained."""
-    pairs = np.unique(docs_of * n_buckets + buckets)
-    of, b = pairs // n_buckets, pairs % n_buckets
-    toxic = np.bincount(b[label[of] == 1], minlength=n_buckets)
-    other = np.bincount(b[label[of] == 0], minlength=n_buckets)
+    chance explains it; and which buckets are in enough documents to be trained. ``parts``: (documents, buckets) of
+    some documents each, so that not all are held at once."""
+    toxic, other = np.zeros(n_buckets, np.int64), np.zeros(n_buckets, np.int64)
+    for docs_of, buckets in parts:
+        pairs = np.unique(docs_of * n_buckets + buckets)
+        of, b = pairs // n_buckets, pairs % n_buckets
+        toxic += np.bincount(b[label[of] == 1], minlength=n_buckets)
+        other += np.bincount(b[label[of] == 0], minlength=n_buckets)
     share = (label == 1).mean()
     both = np.maximum(toxic + other, 1)
     with np.errstate(divide="ignore", invalid="ignore"):
         ratio = np.where(toxic > 0, toxic * np.log(toxic / (both * share)), 0) + np.where(other > 0, other * np.log(other / (both * (1 - share))), 0)
     sure = np.clip((np.sqrt(2 * np.maximum(ratio, 0)) - 4.5) / 1.5, 0, 1)
-    odds = np.log((toxic + share) / (other + 1 - share) * (1 - share) / share)
-    return (sure * np.clip(odds, -3, 3)).astype(np.float32), toxic + other >= 8
+    with np.errstate(divide="ignore", invalid="ignore"):
+        odds = np.log((toxic + share) / (other + 1 - share) * (1 - share) / share)
+    return (sure * np.clip(np.nan_to_num(odds), -3, 3)).astype(np.float32), toxic + other >= 8
 
 
 def _not_copies(texts: list[str], run: int = 4, least: int = 8) -> list[int]:
@@ -156,10 +163,10 @@ def _not_copies(texts: list[str], run: int = 4, least: int = 8) -> list[int]:
 
 
 def train(texts: list[str], label: np.ndarray, epochs: int = 6, rate: float = 0.05, seed: int = 2) -> WindowNet:
-    """Learns from whole documents' labels, one of each group of copies: each epoch, every document's window with the largest logit (and for documents
-    that are not toxic one more, at random) is trained by back-propagation through time. The first coordinates of the
-    word and character vectors begin as evidence from the same documents; all vectors but those of rare buckets are
-    trained on."""
+    """Learns from whole documents' labels, one of each group of copies: each epoch, every document's window with the
+    largest logit (and for documents that are not toxic one more, at random) is trained by back-propagation through
+    time. The first coordinates of the word and character vectors begin as evidence from the same documents; all vectors
+    but those of rare buckets are trained on."""
     net, rng = WindowNet(), np.random.default_rng(seed)
     kept = _not_copies(texts)
     texts, label = [texts[i] for i in kept], label[kept]
@@ -167,17 +174,22 @@ def train(texts: list[str], label: np.ndarray, epochs: int = 6, rate: float = 0.
     coded = flat.dictionary_encode()
     words = _clean(coded.dictionary.to_pylist())
     numbers = coded.indices.to_numpy().astype(np.int64)
-    of_doc = np.repeat(np.arange(len(texts)), np.diff(ends))
     wb = word_buckets(words)
-    grams, count = gram_buckets(words)
-    at = np.cumsum(count) - count
-    word_odds, word_known = _evidence(of_doc, wb[numbers], WORD_BUCKETS, label)
-    # a document's character runs: those of its distinct words
-    pairs = np.unique(of_doc * len(words) + numbers)
-    p_doc, p_word = pairs // len(words), pairs % len(words)
-    spread_to = np.repeat(p_doc, count[p_word])
-    inside = np.arange(len(spread_to)) - np.repeat(np.cumsum(count[p_word]) - count[p_word], count[p_word])
-    gram_odds, gram_known = _evidence(spread_to, grams[np.repeat(at[p_word], count[p_word]) + inside], GRAM_BUCKETS, label)
+
+    def parts(character: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for a in range(0, len(texts), 100):
+            b = min(len(texts), a + 100)
+            of, own = np.repeat(np.arange(a, b), np.diff(ends[a : b + 1])), numbers[ends[a] : ends[b]]
+            if not character:
+                yield of, wb[own]
+                continue
+            pairs = np.unique(of * len(words) + own)  # each word of a document once
+            of, (some, own) = pairs // len(words), np.unique(pairs % len(words), return_inverse=True)
+            grams, count = gram_buckets([words[i] for i in some])
+            yield np.repeat(of, count[own]), grams[spread((np.cumsum(count) - count)[own], count[own])]
+
+    word_odds, word_known = _evidence(parts(False), WORD_BUCKETS, label)
+    gram_odds, gram_known = _evidence(parts(True), GRAM_BUCKETS, label)
     net.word[:, 0], net.gram[:, 0] = word_odds, gram_odds
     start, size, of = windows(ends)
     hint = net.inputs(words)
