@@ -8,21 +8,18 @@ from pyspark.sql import functions as F
 from starprism.llm.common import materialize
 
 WINDOW = 8
-_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # words before lower-casing
+# fixed values: word characters are digits, a-z and everything beyond ASCII; A-Z become a-z, all others end a word
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_ENDS = "".join(chr(c) for c in (*range(0x00, 0x20), *range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)))
 _BLOCK = 256
 #: A side of at most so many rows is broadcast; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
 
-def _lower(word: Column) -> Column:
-    """Only A-Z in lower case. lower() decides whether anything has to be done; it alone does for ASCII words."""
-    low = F.lower(word)
-    return F.when(low == word, word).when(F.octet_length(word) == F.char_length(word), low).otherwise(F.translate(word, _UPPER, _LOWER))
-
-
 def _words(text: Column) -> Column:
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_WORD), F.lit(0))
+    """A text's words in lower case: one pass over the characters, then a split at runs of spaces."""
+    plain = F.trim(F.translate(F.coalesce(text, F.lit("")), _UPPER + _ENDS, _LOWER + " " * len(_ENDS)))
+    return F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(plain, " +"))
 
 
 def _small(df: DataFrame, most: int) -> DataFrame:
@@ -32,7 +29,7 @@ def _small(df: DataFrame, most: int) -> DataFrame:
 
 def item_terms(items: DataFrame) -> DataFrame:
     """item_id (text), words (in lower case), n of items with a word; items of one id keep apart by their words."""
-    words = items.select(F.col("item_id").cast("string").alias("item_id"), F.transform(_words(F.col("text")), _lower).alias("words"))
+    words = items.select(F.col("item_id").cast("string").alias("item_id"), _words(F.col("text")).alias("words"))
     return words.where(F.col("item_id").isNotNull() & (F.size("words") > 0)).distinct().withColumn("n", F.size("words"))
 
 
@@ -46,7 +43,9 @@ def postings(docs: DataFrame, terms: DataFrame, key: str = "k", reach: int = WIN
     lead = F.least("at", F.lit(reach))
     near = blocks.select(key, "at", lead.alias("lead"), F.slice("all", F.col("at") - lead + 1, F.lit(_BLOCK + 2 * reach)).alias("near"))
     each = near.select(key, "at", "lead", "near", F.posexplode("near").alias("i", "word")).where((F.col("i") >= F.col("lead")) & (F.col("i") < F.col("lead") + _BLOCK))
-    met = each.select(key, "at", "lead", "near", "i", _lower(F.col("word")).alias("term")).join(_small(terms, most), "term")
+    # a join by 64-bit hash, which takes a table of longs, then the terms themselves are compared
+    asked = terms.withColumn("h", F.xxhash64("term"))
+    met = each.withColumn("h", F.xxhash64("word")).join(_small(asked, most), "h").where(F.col("word") == F.col("term"))
     before = F.reverse(F.slice("near", F.greatest(F.col("i") - reach, F.lit(0)) + 1, F.least("i", F.lit(reach))))
     kept = [c for c in terms.columns if c != "term"]
     return met.select(key, "term", (F.col("at") + F.col("i") - F.col("lead")).alias("pos"), before.alias("before"), F.slice("near", F.col("i") + 2, F.lit(reach)).alias("after"), *kept)
@@ -54,8 +53,9 @@ def postings(docs: DataFrame, terms: DataFrame, key: str = "k", reach: int = WIN
 
 def term_counts(docs: DataFrame, terms: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """term and its number of places in all documents (only terms that occur)."""
-    each = docs.select(F.explode(_words(F.col("text"))).alias("word")).select(_lower(F.col("word")).alias("term"))
-    return each.join(_small(terms.select("term"), most), "term").groupBy("term").agg(F.count(F.lit(1)).alias("places"))
+    each = docs.select(F.explode(_words(F.col("text"))).alias("word")).withColumn("h", F.xxhash64("word"))
+    asked = terms.select("term", F.xxhash64("term").alias("h"))
+    return each.join(_small(asked, most), "h").where(F.col("word") == F.col("term")).groupBy("term").agg(F.count(F.lit(1)).alias("places"))
 
 
 def rarest_terms(items: DataFrame, counts: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -91,8 +91,8 @@ def phrase_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, key: st
     counts = materialize(term_counts(docs, vocabulary), "term-counts")
     anchors = materialize(rarest_terms(terms, counts, window), "anchors")
     met = materialize(postings(docs, anchors.groupBy("term").agg(F.collect_list(F.struct("item_id", "item", "n", "ipos", "item_before", "item_after")).alias("at_items")), key, window - 1), "postings")
-    lowered = met.select(key, "pos", F.transform("before", _lower).alias("before"), F.transform("after", _lower).alias("after"), F.explode("at_items").alias("x")).select(key, "pos", "before", "after", "x.*")
-    runs = lowered.select(key, "item_id", "item", "n", "pos", "ipos", _run("before", "item_before", window - 1).alias("left"), _run("after", "item_after", window - 1).alias("right"))
+    placed = met.select(key, "pos", "before", "after", F.explode("at_items").alias("x")).select(key, "pos", "before", "after", "x.*")
+    runs = placed.select(key, "item_id", "item", "n", "pos", "ipos", _run("before", "item_before", window - 1).alias("left"), _run("after", "item_after", window - 1).alias("right"))
     return runs.where(F.col("left") + F.col("right") + 1 >= F.least("n", F.lit(window))).select(key, "item_id", (F.col("pos") - F.col("left")).alias("first"), (F.col("pos") + F.col("right")).alias("last"), (F.col("pos") - F.col("ipos")).alias("shift"))
 
 
