@@ -18,7 +18,7 @@ from starprism.llm.common import batches, materialize, new_path
 from starprism.llm.files import write_file
 
 _MEMBER = b"\x1f\x8b\x08"
-_VERSION = re.compile(rb"(?:\A|(?<=\n))WARC/\d\.\d\r?\n")
+_VERSION = re.compile(rb"WARC/\d\.\d\r?\n")
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -57,7 +57,7 @@ class Salvage:
 
 def _parse(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     """The record that begins at a place, and where it ends; ValueError if a check fails."""
-    if not _VERSION.match(data, at) and not (data.startswith(b"WARC/", at) and (at == 0 or data[at - 1 : at] == b"\n")):
+    if not _VERSION.match(data, at):
         raise ValueError("no version line")
     end = data.find(b"\r\n\r\n", at)
     if end < 0:
@@ -68,8 +68,8 @@ def _parse(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
         if not colon:
             raise ValueError("header line without name")
         headers[name.decode("latin-1").strip().lower()] = value.decode("utf-8", "replace").strip()
-    if not headers.get("content-length", "").isdigit():
-        raise ValueError("no length")
+    if not headers.get("content-length", "").isdigit() or not headers.get("warc-type") or not headers.get("warc-record-id"):
+        raise ValueError("no length, type or id")
     start, n = end + 4, int(headers["content-length"])
     block = data[start : start + n]
     if len(block) < n or data[start + n : start + n + 4] != b"\r\n\r\n":
@@ -81,8 +81,8 @@ def _parse(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
 
 
 def salvage_plain(data: bytes, out: Salvage | None = None, base: int = 0) -> Salvage:
-    """Reads uncompressed records. After a failed check the next version line at a line's start is searched for, from
-    the byte after the failed record's start, and the bytes between are quarantined."""
+    """Reads uncompressed records. After a failed check the next version line is searched for, from the byte after the
+    failed record's start, and the bytes between are quarantined; a version line that begins no valid record fails in turn."""
     out, at = out or Salvage(), 0
     while at < len(data):
         try:
