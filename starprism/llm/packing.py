@@ -17,13 +17,16 @@ END_ID = 1
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def sum_of_squares(sizes: np.ndarray, capacity: int, freely: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places sizes (1 to capacity), in the given order, where the sum over gaps of the squared number of open bins with
-    that gap becomes smallest; ties go to the smallest gap, and opening a bin is one of the choices. Returns each size's
-    bin and offset, and each bin's gap."""
+    that gap becomes smallest; ties go to the smallest gap. ``freely``: opening a bin is one of the places at any time,
+    as the rule for sizes that come one by one has it; else a bin is opened only if no open one has room, which is
+    better where all sizes are known. Returns each size's bin and offset, and each bin's gap."""
     cost = np.zeros(capacity + 1, np.float32)  # open bins by gap
     have = np.full(capacity + 1, -np.inf, np.float32)  # the same, and never where there is none
-    cost[0], have[capacity] = -0.5, 0.5  # a full bin counts nothing, a new one was none before
+    cost[0] = -0.5  # a full bin counts nothing
+    if freely:
+        have[capacity] = 0.5  # a new bin was none before
     open_bins: list[list[int]] = [[] for _ in range(capacity + 1)]
     gaps: list[int] = []
     bins, offsets = np.empty(len(sizes), np.int64), np.empty(len(sizes), np.int64)
@@ -31,8 +34,8 @@ def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
     for i, s in enumerate(sizes.tolist()):
         n = capacity - s + 1
         g = int(np.subtract(cost[:n], have[s:], out=change[:n]).argmin()) + s
-        if g == capacity:
-            b = len(gaps)
+        if g == capacity or change[g - s] == np.inf:
+            g, b = capacity, len(gaps)
             gaps.append(g)
         else:
             b = open_bins[g].pop()
@@ -47,25 +50,11 @@ def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
     return bins, offsets, np.array(gaps, np.int64)
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    """A fixed shuffling order that doesn't depend on how rows arrive."""
-    with np.errstate(over="ignore"):
-        x = (x.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
-        return (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
-
-
 def pack_group(sizes: np.ndarray, keys: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Packs one group: all sizes in shuffled order, then what bins with gaps hold once more, largest first, if that saves a bin or leaves no more."""
-    order = np.lexsort((keys, _mixed(keys)))
-    bins, offsets, gaps = np.empty(len(sizes), np.int64), np.empty(len(sizes), np.int64), None
+    """Packs one group, largest first (of equals in the order of their keys, so that a repeated task packs alike)."""
+    order = np.lexsort((keys, -sizes))
+    bins, offsets = np.empty(len(sizes), np.int64), np.empty(len(sizes), np.int64)
     bins[order], offsets[order], gaps = sum_of_squares(sizes[order], capacity)
-    again = np.flatnonzero(gaps[bins] > 0)
-    if len(again):
-        order = again[np.lexsort((keys[again], -sizes[again]))]
-        bins2, offsets2, gaps2 = sum_of_squares(sizes[order], capacity)
-        if len(gaps2) <= (gaps > 0).sum():
-            bins[order], offsets[order] = bins2 + len(gaps), offsets2
-            gaps = np.concatenate([np.where(gaps > 0, -1, gaps), gaps2])
     return bins, offsets, gaps
 
 
@@ -99,11 +88,15 @@ def document_pieces(docs: DataFrame, path: str, capacity: int = 4096, ids: bool
     return id_and_text(docs).mapInArrow(pieces, PIECES + (", ids array<int>" if ids else ""))
 
 
-def _packer(names: list[str], capacity: int, round_no: int, last: bool):
+def _packer(names: list[str], capacity: int, round_no: int, pass_on: int):
     def packed(group: pa.Table) -> pa.Table:
         column = lambda name: group.column(name).to_numpy()
         bins, offsets, gaps = pack_group(column("length"), column("k"), capacity)
-        kept = (gaps[bins] == 0) | last
+        count = np.bincount(bins, minlength=len(gaps))
+        worst = np.argsort(-gaps, kind="stable")
+        goes = np.zeros(len(gaps), bool)
+        goes[worst[np.cumsum(count[worst]) <= pass_on]] = True
+        kept = ~(goes & (gaps > 0))[bins]
         ids = (round_no << 56) | (column("g").astype(np.int64) << 32) | bins
         return group.select(names).append_column("sequence_id", pa.array(ids, pa.int64())).append_column("offset", pa.array(offsets, pa.int64())).append_column("kept", pa.array(kept))
 
@@ -114,9 +107,9 @@ def pack(pieces: DataFrame, capacity: int = 4096, group: int = 16_000, merge: in
     """Gives every piece (doc_id, piece, length and more columns) a sequence_id and an offset.
 
     Pieces of the full length are sequences of their own. The others are dealt by hash to groups of about ``group``
-    pieces and packed there by the sum-of-squares rule, each group in one task of bounded size. What bins with gaps hold
-    goes on to a next round with a ``merge``-th of the groups, until one group is left; nearly all bins are full by then,
-    so that the last group is small. Null ids and repeated ids are pieces like any other; an empty table gives none.
+    pieces and packed there by the sum-of-squares rule, each group in one task of bounded size. Of each group the bins
+    with the largest gaps, up to a ``merge``-th of a group's pieces, go on to a next round with a ``merge``-th of the
+    groups, so no group grows, until one group is left. Null ids and repeated ids are pieces like any other; an empty table gives none.
     """
     spark = pieces.sparkSession
     full = pieces.where(F.col("length") >= capacity).withColumns({"sequence_id": F.lit(1 << 62).cast("long") + F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
@@ -130,7 +123,7 @@ def pack(pieces: DataFrame, capacity: int = 4096, group: int = 16_000, merge: in
         last = groups == 1
 
         keyed = rest.withColumn("k", F.xxhash64(F.lit(round_no), "doc_id", "piece", "length")).withColumn("g", F.pmod(F.col("k"), F.lit(groups)).cast("long"))
-        out = materialize(keyed.groupBy("g").applyInArrow(_packer(names, capacity, round_no, last), schema + ", sequence_id long, offset long, kept boolean"), f"packed-{round_no}")
+        out = materialize(keyed.groupBy("g").applyInArrow(_packer(names, capacity, round_no, 0 if last else group // merge), schema + ", sequence_id long, offset long, kept boolean"), f"packed-{round_no}")
         done.append(out.where("kept").drop("kept"))
         if last:
             break
