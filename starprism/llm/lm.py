@@ -18,7 +18,7 @@ END = np.uint64(xxhash.xxh64_intdigest(b" ", 0))  # no word holds a space
 BASE = 1.5  # counts are kept as whole powers of it
 LEAST_PAIR = 2  # pairs seen once aren't stored
 BLOCK_BITS = 1 << 19  # all probes of a key fall into one block
-BITS_EACH, PROBES = 10, 5  # bits for each stored level, positions for each
+BITS_EACH, PROBES = 12, 6  # bits for each stored level, positions for each
 MIX = 0.7  # weight of the pair estimate
 #: Broadcast at most so many exact word counts, and at most so many bytes of filter at once. More words go through a
 #: join, and a larger filter through several passes, with the same results.
@@ -53,7 +53,7 @@ class Tokens:
     """Tokens of whole texts as hashes, with each distinct word hashed once while it is cached."""
 
     def __init__(self):
-        self.cache, self.hashes = WordCache(300_000, 10_000_000), Rows((), np.uint64)
+        self.cache, self.hashes = WordCache(150_000, 5_000_000), Rows((), np.uint64)
 
     def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Hash of every token (words in lower-case A-Z, then one end for each text), where each text's tokens begin with
@@ -99,7 +99,7 @@ def ngram_counts(docs: DataFrame) -> DataFrame:
             word, _, last = tokens.of(texts_of(batch))
             held.append((word, pair_keys(_before(word, last), word)))
             size += len(word)
-            if size > 4_000_000:
+            if size > 1_000_000:
                 yield from summed()
                 held, size = [], 0
         if size:
@@ -203,7 +203,7 @@ def score(docs: DataFrame, training: DataFrame, most_words: int = MOST_WORDS, mo
     exact counts are joined instead of broadcast, beyond ``most_filter`` bytes the filter is used in stretches.
     """
     spark = docs.sparkSession
-    batches(spark)
+    batches(spark, 1000)
     ngrams = materialize(ngram_counts(id_and_text(training)).where((F.col("kind") == 1) | (F.col("n") >= LEAST_PAIR)), "ngrams")
     n, v = (int(x or 0) for x in ngrams.where("kind = 1").agg(F.sum("n"), F.count(F.lit(1))).first())
     blocks, n_blocks = build_filter(ngrams)
