@@ -17,16 +17,16 @@ def detect_delimiter(line: str) -> str:
 
 def read_delimited(spark: SparkSession, path: str, schema: StructType, delimiter: str | None = None, null_values: tuple[str, ...] = ("\\N",), empty_is_null: bool = False) -> DataFrame:
     """CSV-like files with quoted fields; the delimiter is detected from the first line if it isn't given. Nulls are
-    written as one of ``null_values``; with ``empty_is_null`` empty fields of any type but string are null as well (for
-    other types Spark reads them as null anyway), else an empty string stays empty."""
+    written as one of ``null_values``; with ``empty_is_null`` empty strings are null as well, as empty fields of other types
+    always are."""
     if delimiter is None:
         first = spark.read.text(path).limit(1).collect()  # one line
         delimiter = detect_delimiter(first[0][0]) if first else ","
     text = StructType([StructField(f.name, StringType()) for f in schema.fields])
-    rows = spark.read.csv(path, schema=text, sep=delimiter, quote='"', escape='"', emptyValue="", nullValue=null_values[0])
+    rows = spark.read.csv(path, schema=text, sep=delimiter, quote='"', escape='"', emptyValue="", nullValue="")  # an empty field is null here
     cols = []
     for f in schema.fields:
-        c = F.col(f.name)
+        c = F.coalesce(F.col(f.name), F.lit(""))
         is_null = c.isin(*null_values)
         if f.dataType.typeName() != "string" or empty_is_null:
             is_null = is_null | (F.trim(c) == "")

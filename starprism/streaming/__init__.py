@@ -24,23 +24,27 @@ def append_parquet(path: str) -> Callable[[DataFrame, int], None]:
 
 
 def read_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
-    """A stream of the Parquet files of a folder or a file."""
+    """A stream of the Parquet files of a folder."""
     schema = spark.read.parquet(path).schema
     reader = spark.readStream.schema(schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    folder, _, name = path.rpartition("/")
-    return reader.option("pathGlobFilter", name).parquet(folder) if name.endswith(".parquet") and not spark.read.parquet(path).inputFiles()[0].rstrip("/").rpartition("/")[0].endswith(name) else reader.parquet(path)
+    return reader.parquet(path)
+
+
+def _watermarked(events: DataFrame, time: str, late: str | None) -> DataFrame:
+    """With a watermark if there is a bound; that needs timestamps with a time zone (the session's)."""
+    return events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late) if late else events
 
 
 def windowed(events: DataFrame, time: str, keys: list[str], length: str, slide: str | None = None, late: str | None = None, value: str | None = None) -> DataFrame:
     """Counts, and sums of ``value``, by window and keys; with ``late``, rows later than that are dropped by a watermark."""
-    rows = events.withWatermark(time, late) if late else events
+    rows = _watermarked(events, time, late)
     more = [F.sum(value).alias("total")] if value else []
     return rows.groupBy(F.window(time, length, slide or length), *keys).agg(F.count(F.lit(1)).alias("n"), *more).select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), *keys, "n", *(["total"] if value else []))
 
 
 def sessions(events: DataFrame, time: str, key: str, gap: str, late: str | None = None) -> DataFrame:
     """Sessions of a key: rows with less than ``gap`` between them."""
-    rows = events.withWatermark(time, late) if late else events
+    rows = _watermarked(events, time, late)
     return rows.groupBy(F.session_window(time, gap), key).agg(F.count(F.lit(1)).alias("n")).select(F.col("session_window.start").alias("session_start"), F.col("session_window.end").alias("session_end"), key, "n")
