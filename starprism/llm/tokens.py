@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from starprism.llm.common import Rows, WordCache, list_parts, spread
+from starprism.llm.common import Rows, list_parts, spread
 
 _SPLIT = re.compile(r"(?<=[^\s\x1c-\x1f\x85]) (?=[^\s\x1c-\x1f\x85])")
 
@@ -25,8 +25,7 @@ def tokenizer_path(name: str) -> str:
 
     return public_tokenizers.path(name)
 
-_MARKS = ".,;:!?"
-_SPACE, _WORD_END = "\u0120", "</w>"  # fixed values: how the two vocabularies write a space and a word's end
+_SPACE, _LINE, _WORD_END = "\u0120", "\u010a", "</w>"  # fixed values: how the vocabularies write a space, a line end and a word's end
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
@@ -37,128 +36,121 @@ def encoder(path: str, spaces: bool) -> Encoder:
     return _ENCODERS[path, spaces]
 
 
-def _odd(part: str) -> bool:
-    """Whether a part is empty or has white space at an end: its text then has runs of white space."""
-    return not part or part[0].isspace() or part[-1].isspace()
+def _ragged(parts: pa.Array) -> pa.Array:
+    """Parts that are empty or have white space at an end, but for one line end before them: their texts have runs of
+    white space."""
+    body = pc.replace_substring_regex(parts, r"\A\n", "")
+    return pc.or_(pc.equal(pc.binary_length(body), 0), pc.not_equal(pc.binary_length(pc.utf8_trim_whitespace(body)), pc.binary_length(body)))
 
 
 class Encoder:
-    """Ids by a file of the tokenizers library. ``spaces``: whether ids keep white space (byte tokenizer); if not, the tokenizer lower-cases."""
+    """Ids by a file of the tokenizers library. ``spaces``: whether ids keep white space (byte tokenizer); if not, the tokenizer lower-cases.
 
-    def __init__(self, path: str, spaces: bool):
+    The ids of the words that come first are kept, up to a bound; other words' ids are computed in the batch that has
+    them. If most words of a batch are new, the kept ones are of other texts and go.
+    """
+
+    def __init__(self, path: str, spaces: bool, most_words: int = 400_000, most_ids: int = 4_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.spaces = spaces
+        self.spaces, self.most_words, self.most_ids = spaces, most_words, most_ids
         vocabulary = self.tokenizer.get_vocab()
-        self.mark = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.mark[[i for token, i in vocabulary.items() if (token[0] == _SPACE if spaces else token.endswith(_WORD_END))]] = True
-        self.cache = WordCache(700_000, 20_000_000)
+        size = max(vocabulary.values()) + 1
+        flags = lambda test: np.isin(np.arange(size), [i for token, i in vocabulary.items() if test(token)])
+        self.space, self.line, self.end = flags(lambda t: t[0] == _SPACE), flags(lambda t: t[0] == _LINE), flags(lambda t: t.endswith(_WORD_END))
         self._reset()
 
     def _reset(self) -> None:
-        self.cache.clear()
-        self.ids, self.first, self.count, self.odd = Rows((), np.int32), Rows((), np.int64), Rows((), np.int64), Rows((), bool)
+        self.kept = pa.array([], pa.string())  # words by number
+        self.ids, self.first, self.count = Rows((), np.int32), Rows((), np.int64), Rows((), np.int64)
 
     def _each(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the words, and how many each has; one call of the tokenizer for each word."""
+        """All ids of the words, and how many each has; one text for each word."""
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
         return np.fromiter(chain.from_iterable(ids), np.int32, int(lengths.sum())), lengths
 
-    def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The same by one call for many words: a mark of the vocabulary tells where a word begins (byte tokenizer) or ends.
-        Words of several parts, which may have more than one such mark, go one by one."""
-        ids, lengths = [], []
+    def _marked(self, words: list[str], mark: np.ndarray, begins: bool, each: int = 1) -> tuple[np.ndarray, np.ndarray]:
+        """The same with many words in a text, where ids of which ``mark`` tells begin (or end) a word's ``each`` parts.
+        Words whose marks don't come out even go one by one."""
+        ids, lengths = [np.empty(0, np.int32)], [np.empty(0, np.int64)]
         for a in range(0, len(words), 4000):
             some = words[a : a + 4000]
-            text = "".join(some) if self.spaces else " ".join(some)
-            found = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
-            marks = np.flatnonzero(self.mark[found])
-            if len(marks) == len(some):
+            found = np.array(self.tokenizer.encode_batch_fast([("" if begins else " ").join(some)], add_special_tokens=False)[0].ids, np.int32)
+            marks = np.flatnonzero(mark[found])
+            if len(marks) == each * len(some):
+                marks = marks[::each] if begins else marks[each - 1 :: each]
                 ids.append(found)
-                lengths.append(np.diff(np.append(marks, len(found))) if self.spaces else np.diff(marks, prepend=-1))
+                lengths.append(np.diff(np.append(marks, len(found))) if begins else np.diff(marks, prepend=-1))
             else:
                 one, n = self._each(some)
                 ids.append(one)
                 lengths.append(n)
         return np.concatenate(ids), np.concatenate(lengths)
 
-    def _plain(self, word: str) -> bool:
-        """Whether the word has exactly one mark: a byte tokenizer's part with its space before it; letters alone."""
-        return word[:1] == " " and not _odd(word[1:]) and " " not in word[1:] if self.spaces else word.isalpha() and word.isascii()
-
-    def _encoded(self, words: list[str]) -> np.ndarray:
-        """Numbers of words whose ids the tokenizer gives."""
-        fresh = list(dict.fromkeys(w for w in words if w not in self.cache.at))
-        plain = [w for w in fresh if self._plain(w)]
-        if len(plain) < len(fresh):
-            seen = set(plain)
-            other = [w for w in fresh if w not in seen]
-            self._store(other, *self._each(other))
-        if plain:
-            self._store(plain, *self._ids(plain))
-        return self.cache.numbers(words)[0]
-
-    def _store(self, words: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
-        self.cache.numbers(words)
+    def _add(self, ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Words' ids under the next numbers."""
         self.first.add(self.ids.n + np.cumsum(lengths) - lengths)
         self.count.add(lengths)
         self.ids.add(ids)
+
+    def _new(self, words: pa.Array) -> np.ndarray:
+        """Adds new words, each by the cheapest way; returns their numbers."""
         if self.spaces:
-            self.odd.add(np.fromiter((_odd(w[1:] if w[:1] in (" ", "\n") else w) for w in words), bool, len(words)))
-
-    def _numbers(self, words: list[str]) -> np.ndarray:
-        """Numbers of words. A mark after a letter or digit is a part of its own to both tokenizers, so a word that ends
-        in one has the ids of the word without it and those of the mark."""
-        at = self.cache.at
-        found = list(map(at.get, words))
-        fresh = [w for w, n in zip(words, found, strict=True) if n is None]
-        if not fresh:
-            return np.array(found, np.int64)
-        marked = [w for w in dict.fromkeys(fresh) if len(w) > 1 and w[-1] in _MARKS and w[-2] < "\u0250" and w[-2].isalnum()]
-        skip = set(marked)
-        self._encoded([*_MARKS, *(w[:-1] for w in marked), *(w for w in fresh if w not in skip)])
-        marked = [w for w in marked if w not in at]
-        if marked:
-            both = np.array([(at[w[:-1]], at[w[-1]]) for w in marked], np.int64)
-            lengths = self.count.data[both]
-            ids = self.ids.data[spread(self.first.data[both].ravel(), lengths.ravel())]
-            self.cache.numbers(marked)
-            lengths = lengths.sum(axis=1)
-            self.first.add(self.ids.n + np.cumsum(lengths) - lengths)
-            self.count.add(lengths)
-            self.ids.add(ids)
-            if self.spaces:
-                self.odd.add(self.odd.data[both[:, 0]])
-        return np.fromiter(map(at.__getitem__, words), np.int64, len(words))
+            line = pc.starts_with(words, "\n")
+            plain = pc.invert(_ragged(words))
+            kinds = [(pc.and_(plain, pc.invert(line)), lambda w: self._marked([" " + x for x in w], self.space, True)), (pc.and_(plain, line), lambda w: self._marked(w, self.line, True)), (pc.invert(plain), lambda w: self._each([" " + x for x in w]))]
+        else:
+            letters = pc.utf8_is_alpha(words)
+            stop = pc.match_substring_regex(words, r"^\pL+[.,;:!?]$")
+            kinds = [(letters, lambda w: self._marked(w, self.end, False)), (stop, lambda w: self._marked(w, self.end, False, 2)), (pc.invert(pc.or_(letters, stop)), self._each)]
+        out = np.empty(len(words), np.int64)
+        for which, encode in kinds:
+            at = np.flatnonzero(which.to_numpy(zero_copy_only=False))
+            out[at] = self.first.n + np.arange(len(at))
+            self._add(*encode(words.take(pa.array(at)).to_pylist()))
+        return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts (no nulls), and where each text's ids begin, with the end last."""
-        if self.cache.full():
-            self._reset()
         parts, offsets = list_parts(pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ") if self.spaces else pc.ascii_split_whitespace(pc.ascii_lower(texts)))
         coded = parts.dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        which = coded.indices.to_numpy()
-        if not self.spaces:
-            numbers = self._numbers(words)[which]
-        else:
-            numbers = self._numbers([w if w[:1] == "\n" else " " + w for w in words])[which]
+        words, which = coded.dictionary, coded.indices.to_numpy()
+        found = pc.index_in(words, value_set=self.kept).fill_null(-1).to_numpy().astype(np.int64)
+        new = found < 0
+        if new.sum() > 0.7 * len(new) and len(self.kept) > self.most_words // 2:
+            self._reset()
+            new[:] = True
+        before = self.ids.n, self.first.n
+        if new.any():
+            fresh = words.filter(pa.array(new))
+            found[new] = self._new(fresh)
+            if self.first.n <= self.most_words and self.ids.n <= self.most_ids:
+                self.kept = pa.concat_arrays([self.kept, fresh.take(pa.array(np.argsort(found[new])))])
+                before = self.ids.n, self.first.n
+        numbers = found[which]
+        if self.spaces and len(texts):
             heads = offsets[:-1]
-            odd = self.odd.data[numbers]
-            many = np.diff(offsets) > 1
-            bad = np.flatnonzero(many & (np.add.reduceat(odd, heads, dtype=np.int64) > 0)) if len(heads) else []
-            numbers[heads] = self._numbers([words[i] for i in which[heads]])
+            first = words.take(coded.indices.take(pa.array(heads))).to_pylist()
+            numbers[heads] = self.first.n + np.arange(len(first))
+            self._add(*self._each(first))  # a text's first part has no space before it
+            ragged = _ragged(words).to_numpy(zero_copy_only=False)[which]
+            bad = np.flatnonzero((np.diff(offsets) > 1) & (np.add.reduceat(ragged, heads, dtype=np.int64) > 0))
             if len(bad):  # runs of white space: these texts' parts are cut with care
                 pieces = [numbers[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
                 for i in bad:
                     head, *rest = _SPLIT.split(texts[int(i)].as_py())
-                    pieces[i] = self._numbers([head, *(" " + w for w in rest)])
+                    own = list(dict.fromkeys([head, *(" " + w for w in rest)]))
+                    place = {w: self.first.n + j for j, w in enumerate(own)}
+                    self._add(*self._each(own))
+                    pieces[i] = np.array([place[head], *(place[" " + w] for w in rest)])
                 offsets = np.concatenate([[0], np.cumsum([len(p) for p in pieces])])
                 numbers = np.concatenate(pieces)
         lengths = self.count.data[numbers]
         ends = np.concatenate([[0], np.cumsum(lengths)])
-        return self.ids.data[spread(self.first.data[numbers], lengths)], ends[offsets]
+        out = self.ids.data[spread(self.first.data[numbers], lengths)]
+        self.ids.n, self.first.n, self.count.n = before[0], before[1], before[1]  # what isn't kept goes
+        return out, ends[offsets]
