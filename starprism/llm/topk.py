@@ -35,41 +35,67 @@ class SortedLists:
         """The threshold before any list is read: no row of the block can score more."""
         return np.maximum(queries, 0) @ self.high + np.minimum(queries, 0) @ self.low
 
-    def search(self, query: np.ndarray, top: list[tuple], k: int, own: int | None) -> list[tuple]:
-        """Merges the block's rows into ``top``, the best (-score, id) so far. Lists are read in step, deeper by doubling;
-        every row met is scored in full. It stops when the sum over dimensions of query times the value last read, which
-        bounds every row not met, is below the k-th score (equal rows could still win by a smaller id)."""
-        n = len(self.ids)
-        used = np.flatnonzero(query)
-        seen = np.zeros(n, bool)
-        depth = 0
-        while depth < n:
-            to = min(n, max(8, 2 * depth))
-            at = np.arange(depth, to)
-            places = np.where(query[used] > 0, at[:, None], n - 1 - at[:, None])
-            met = self.order[places, used] if len(used) else at[:, None]
-            fresh = np.zeros(n, bool)
-            fresh[met.ravel()] = True
-            fresh &= ~seen
-            seen |= fresh
-            new = np.flatnonzero(fresh)
-            if len(new):
-                scores, ids = self.rows[new] @ query, self.ids[new]
-                if len(top) == k:
-                    keep = scores >= -top[-1][0]
-                    scores, ids = scores[keep], ids[keep]
-                if own is not None:
-                    scores, ids = scores[ids != own], ids[ids != own]
-                if len(ids):
-                    best = np.lexsort((ids, -scores))[:k]
-                    top = sorted(top + [(-int(s), int(i)) for s, i in zip(scores[best], ids[best], strict=True)])[:k]
-            depth = to
-            if seen.all():
-                break
-            last = self.order[np.where(query[used] > 0, depth - 1, n - depth), used]
-            if len(top) == k and (self.rows[last, used] * query[used]).sum() < -top[-1][0]:
-                break
-        return top
+    def ends(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """The values last read in each list after so many steps from the top and from the bottom."""
+        at = np.arange(self.rows.shape[1])
+        return self.rows[self.order[depth - 1], at], self.rows[self.order[len(self.ids) - depth], at]
+
+
+class Search:
+    """The best ``k`` of a batch of queries over blocks that come one after another."""
+
+    def __init__(self, queries: np.ndarray, own: np.ndarray, k: int):
+        self.queries, self.own, self.k = queries, own, k
+        self.up, self.down = np.maximum(queries, 0), np.minimum(queries, 0)
+        self.kth = np.full(len(queries), -np.inf, queries.dtype)
+        self.top = (np.empty(0, np.int64), np.empty(0, queries.dtype), np.empty(0, np.int64))  # query, score, id
+
+    def over(self, lists: list[SortedLists]) -> None:
+        """Threshold algorithm. Blocks are taken by their greatest threshold; a query skips a block that cannot beat its
+        k-th score. Within a block the lists of all dimensions are read in step, from both ends, since queries have
+        either sign; each row met is scored in full for the queries still at work. A query stops when the sum over
+        dimensions of its value times the value last read is below its k-th score: no row that wasn't met can score
+        more, and one that scores the same would need a sum that is equal."""
+        if not lists:
+            return
+        bounds = np.stack([x.bound(self.queries) for x in lists], axis=1)
+        for b in np.argsort(-bounds.max(axis=0), kind="stable"):
+            block, n = lists[b], len(lists[b].ids)
+            live = np.flatnonzero(bounds[:, b] >= self.kth)
+            seen, depth = np.zeros(n, bool), 0
+            while len(live) and depth < n:
+                to = min(n, max(16, 4 * depth))
+                fresh = np.zeros(n, bool)
+                fresh[block.order[depth:to].ravel()] = True
+                fresh[block.order[n - to : n - depth].ravel()] = True
+                fresh &= ~seen
+                seen |= fresh
+                self._score(block, np.flatnonzero(fresh), live)
+                depth = to
+                if seen.all():
+                    break
+                high, low = block.ends(depth)
+                live = live[self.up[live] @ high + self.down[live] @ low >= self.kth[live]]
+
+    def _score(self, block: SortedLists, rows: np.ndarray, live: np.ndarray) -> None:
+        if not len(rows):
+            return
+        scores = self.queries[live] @ block.rows[rows].T
+        least = self.kth[live]
+        if len(rows) > self.k + 1 and scores.dtype != object:  # own row aside, its k-th score can't be missed
+            least = np.maximum(least, np.partition(scores, len(rows) - self.k - 1, axis=1)[:, len(rows) - self.k - 1])
+        q, r = np.nonzero((scores >= least[:, None]) & (block.ids[rows][None, :] != self.own[live][:, None]))
+        if not len(q):
+            return
+        query, score, ids = (np.concatenate(x) for x in zip(self.top, (live[q], scores[q, r], block.ids[rows][r]), strict=True))
+        order = np.lexsort((ids, -score, query)) if score.dtype != object else np.array(sorted(range(len(ids)), key=lambda i: (query[i], -score[i], ids[i])))
+        query, score, ids = query[order], score[order], ids[order]
+        first = np.searchsorted(query, query)
+        rank = np.arange(len(query)) - first
+        keep = rank < self.k
+        self.top = query[keep], score[keep], ids[keep]
+        last = rank == self.k - 1
+        self.kth[query[last]] = score[last]
 
 
 def _numbers(cells: np.ndarray) -> np.ndarray:
@@ -150,23 +176,15 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, block: int = 1024,
 
     def searched(left: pa.Table, right: pa.Table) -> pa.Table:
         blocks = [(r["dims"], *_unpack(r)) for r in left.to_pylist()]
-        out: list[tuple] = []
+        every = [pa.table({n: pa.array([], pa.int64()) for n in ("query_id", "vec_id", "score")})]
         for q in right.to_pylist():
-            ids, cells_ = _unpack(q)
+            ids, asked_ = _unpack(q)
             lists = [SortedLists(i, _numbers(c)) for d, i, c in blocks if d == q["dims"]]
-            if not lists:
-                continue
-            asked_ = _numbers(cells_)
-            bounds = np.stack([x.bound(asked_) for x in lists], axis=1)
-            for j, query in enumerate(asked_):
-                top: list[tuple] = []
-                for b in np.argsort(-bounds[j], kind="stable"):
-                    if len(top) == k and bounds[j, b] < -top[-1][0]:
-                        break
-                    top = lists[b].search(query, top, k, int(ids[j]))
-                out += [(int(ids[j]), i, -s) for s, i in top]
-        columns = list(zip(*out, strict=True)) or [[], [], []]
-        return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("query_id", "vec_id", "score"), columns, strict=True)})
+            found = Search(_numbers(asked_), ids, k)
+            found.over(lists)
+            query, score, met_ids = found.top
+            every.append(pa.table({"query_id": pa.array(ids[query], pa.int64()), "vec_id": pa.array(met_ids, pa.int64()), "score": pa.array([int(x) for x in score], pa.int64())}))
+        return pa.concat_tables(every)
 
     left = stored.withColumn("g", F.pmod(F.xxhash64("dims", "first", "ids"), F.lit(n_groups))).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n_query_groups - 1))))
     right = queries.withColumn("q", F.pmod(F.xxhash64("dims", "first", "ids"), F.lit(n_query_groups)).cast("int")).withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_groups - 1).cast("long"))))
