@@ -55,29 +55,28 @@ class Tokens:
     def __init__(self):
         self.cache, self.hashes = WordCache(150_000, 5_000_000), Rows((), np.uint64)
 
-    def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hash of every token (words in lower-case A-Z, then one end for each text), where each text's tokens begin with
-        the end last, and which tokens are ends."""
+    def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct tokens as hashes (words in lower-case A-Z; the last is the end), each token's number among them (one
+        end after each text), where each text's tokens begin with the end last, and which tokens are ends."""
         if self.cache.full():
             self.cache.clear()
             self.hashes = Rows((), np.uint64)
         flat, ends = list_parts(pc.ascii_split_whitespace(pc.ascii_lower(texts)))
-        coded = flat.dictionary_encode()
+        real = pc.greater(pc.binary_length(flat), 0)
+        ends = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))])[ends]
+        coded = flat.filter(real).dictionary_encode()
         numbers, new = self.cache.numbers(coded.dictionary.to_pylist())
         if new:
-            self.hashes.add(np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), 0) if w else 0 for w in new), np.uint64, len(new)))
-        which = coded.indices.to_numpy()
-        word = self.hashes.data[numbers[which]]
-        real = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
-        ends = np.concatenate([[0], np.cumsum(real)])[ends]
-        word = np.insert(word[real], ends[1:], END)
+            self.hashes.add(np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), 0) for w in new), np.uint64, len(new)))
+        some = np.append(self.hashes.data[numbers], END)
+        which = np.insert(coded.indices.to_numpy(), ends[1:], len(numbers))
         ends = ends + np.arange(len(ends))
-        last = np.zeros(len(word), bool)
+        last = np.zeros(len(which), bool)
         last[ends[1:] - 1] = True
-        return word, ends, last
+        return some, which, ends, last
 
 
-def _before(word: np.ndarray, last: np.ndarray) -> np.ndarray:
+def _before(word: np.ndarray) -> np.ndarray:
     """The token before each; a text begins after an end."""
     out = np.empty_like(word)
     out[1:], out[:1] = word[:-1], END
@@ -87,23 +86,23 @@ def _before(word: np.ndarray, last: np.ndarray) -> np.ndarray:
 def ngram_counts(docs: DataFrame) -> DataFrame:
     """kind (1 words and ends, 2 pairs), key, n over all the documents; batches are summed before the shuffle."""
 
+    def rows(kind: int, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int8)), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["kind", "key", "n"])
+
     def counted(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, held, size = Tokens(), [], 0
-
-        def summed() -> Iterator[pa.RecordBatch]:
-            for kind in (0, 1):
-                keys, n = np.unique(np.concatenate([h[kind] for h in held]), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind + 1, np.int8)), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["kind", "key", "n"])
-
         for batch in found:
-            word, _, last = tokens.of(texts_of(batch))
-            held.append((word, pair_keys(_before(word, last), word)))
+            some, which, _, _ = tokens.of(texts_of(batch))
+            n = np.bincount(which, minlength=len(some))
+            yield rows(1, some[n > 0], n[n > 0])
+            word = some[which]
+            held.append(pair_keys(_before(word), word))
             size += len(word)
             if size > 1_000_000:
-                yield from summed()
+                yield rows(2, *np.unique(np.concatenate(held), return_counts=True))
                 held, size = [], 0
         if size:
-            yield from summed()
+            yield rows(2, *np.unique(np.concatenate(held), return_counts=True))
 
     return docs.select("doc_id", "text").mapInArrow(counted, "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
@@ -234,15 +233,14 @@ def _scored(spark: SparkSession, rows: DataFrame, ngrams: DataFrame, blocks: Dat
         keys, counts, data = shared.value
         bloom, tokens = LogBloom(data, n_blocks), Tokens()
         for batch in found:
-            word, ends, last = tokens.of(texts_of(batch))
-            some, back = np.unique(word, return_inverse=True)
+            some, which, ends, _ = tokens.of(texts_of(batch))
+            word = some[which]
             at = np.minimum(np.searchsorted(keys, some.view(np.int64)), max(0, len(keys) - 1))
             c = np.where(keys[at] == some.view(np.int64), counts[at], 0) if len(keys) else np.zeros(len(some), np.int64)
-            base = np.log10((c + 1) / (n + v + 1))[back]
-            pairs, pair_back = np.unique(pair_keys(_before(word, last), word), return_inverse=True)
-            total = log_scores(bloom.levels(some)[back], bloom.levels(pairs)[pair_back], ends, n, v)
+            base = np.log10((c + 1) / (n + v + 1))[which]
+            total = log_scores(bloom.levels(some)[which], bloom.levels(pair_keys(_before(word), word)), ends, n, v)
             heads = ends[:-1]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(ends)), pa.array(np.add.reduceat((c > 0)[back], heads, dtype=np.int64)), pa.array(np.add.reduceat(base, heads)), pa.array(total)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(ends)), pa.array(np.add.reduceat((c > 0)[which], heads, dtype=np.int64)), pa.array(np.add.reduceat(base, heads)), pa.array(total)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
     return rows.mapInArrow(scored, "doc_id long, n_tokens long, n_known long, base_score double, score double")
 
@@ -253,7 +251,8 @@ def _base_joined(keyed: DataFrame, ngrams: DataFrame, n: int, v: int) -> DataFra
     def counted(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens()
         for batch in found:
-            word, ends, _ = tokens.of(texts_of(batch))
+            some, which, ends, _ = tokens.of(texts_of(batch))
+            word = some[which]
             of = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
             order = np.lexsort((word, of))
             first = np.flatnonzero((np.diff(word[order].view(np.int64), prepend=0) != 0) | (np.diff(of[order], prepend=-1) != 0))
@@ -273,8 +272,9 @@ def _levels(spark: SparkSession, keyed: DataFrame, bloom: LogBloom) -> DataFrame
     def probed(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bloom, tokens = shared.value, Tokens()
         for batch in found:
-            word, ends, last = tokens.of(texts_of(batch))
-            levels = np.stack([bloom.levels(word), bloom.levels(pair_keys(_before(word, last), word))], axis=1).astype(np.uint8)
+            some, which, ends, _ = tokens.of(texts_of(batch))
+            word = some[which]
+            levels = np.stack([bloom.levels(word), bloom.levels(pair_keys(_before(word), word))], axis=1).astype(np.uint8)
             packed = [zlib.compress(levels[a:b].tobytes(), 1) for a, b in zip(ends[:-1], ends[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("k")), pa.array(packed, pa.binary())], ["k", "levels"])
 

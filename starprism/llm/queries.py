@@ -56,4 +56,4 @@ LLM_QUERIES = {
     f.__name__: f
     for f in (op1_sum_of_squares_packing, op2_warc_salvage, op3_simhash_multi_index, op4_positional_index_decontamination, op5_toxicity_bigru, op6_language_bigru, op7_multipart_secrets, op8_threshold_top_k, op9_log_bloom_lm, op10_wavelet_token_files, pipeline)
 }
-LLM_ORACLES: dict[str, str] = {"op4_positional_index_decontamination": decontamination.ORACLE, "op8_threshold_top_k": topk.ORACLE}
+LLM_ORACLES: dict[str, str] = {"op2_warc_salvage": warc.ORACLE, "op4_positional_index_decontamination": decontamination.ORACLE, "op8_threshold_top_k": topk.ORACLE}

@@ -32,7 +32,7 @@ def shard_documents(shard: WaveletMatrix) -> tuple[list, np.ndarray]:
     return [int(i) if k else None for i, k in zip(ids, known, strict=True)], np.frombuffer(shard.extra, "<i8", n, 8 + 9 * n)
 
 
-def write_token_files(docs: DataFrame, folder: str, path: str, shard_ids: int = 2_000_000, task_bytes: int = 8 << 20) -> DataFrame:
+def write_token_files(docs: DataFrame, folder: str, path: str, shard_ids: int = 2_000_000, task_bytes: int = 12 << 20) -> DataFrame:
     """Writes shards in ascending doc_id order; returns a row per shard: part, shard, name, n_docs, n_tokens.
 
     Documents are dealt by ranges of doc_id (and of the text's hash, so that repeated ids can be split) to tasks of

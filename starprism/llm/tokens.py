@@ -50,7 +50,7 @@ class Encoder:
     them. If most words of a batch are new, the kept ones are of other texts and go.
     """
 
-    def __init__(self, path: str, spaces: bool, most_words: int = 400_000, most_ids: int = 4_000_000):
+    def __init__(self, path: str, spaces: bool, most_words: int = 600_000, most_ids: int = 4_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

@@ -228,3 +228,13 @@ def op2(pages: DataFrame) -> DataFrame:
     if not write_archives(pages, folder).take(1):
         return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
     return read_archives(spark, folder)[0]
+
+
+ORACLE = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), f AS (SELECT h, min(page_id) AS first FROM p GROUP BY h),
+d AS (SELECT page_id, h, sha1(h) || '0' AS x FROM p)
+SELECT d.page_id, CAST(octet_length(encode(d.h)) AS BIGINT) AS payload_bytes,
+array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(((16 * (strpos('0123456789abcdef', substr(d.x, 5 * i // 4 + 1, 1)) - 1) + strpos('0123456789abcdef', substr(d.x, 5 * i // 4 + 2, 1)) - 1) >> (3 - 5 * i % 4)) & 31 AS BIGINT), 1)), '') AS payload_digest,
+CASE WHEN f.first <> d.page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN f.first <> d.page_id THEN f.first END AS refers_to
+FROM d JOIN f USING (h)
+"""

@@ -36,7 +36,7 @@ class WaveletMatrix:
             one = (now & (1 << bit)) != 0
             planes.append(np.packbits(one))
             if bit:
-                now = now.take(np.concatenate([np.flatnonzero(~one), np.flatnonzero(one)]))
+                now = np.concatenate([np.compress(~one, now), np.compress(one, now)])
         return cls(len(ids), planes, extra)
 
     def to_bytes(self) -> bytes:

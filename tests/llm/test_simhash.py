@@ -72,8 +72,8 @@ def test_dense_groups_and_crowded_keys(spark):
     prints = sorted(prints)
     roots = by_force(prints, 4)
     marks = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p, i) for i, p in enumerate(prints)], "fp long, rep long")
-    for crowd in (1000, 5):
-        got = {x.fp % (1 << 64): x.label for x in simhash.near_links(marks, 4, crowd=crowd).collect()}
+    for crowd, pieces in ((1000, None), (5, None), (1000, 2)):
+        got = {x.fp % (1 << 64): x.label for x in simhash.near_links(marks, 4, pieces, crowd).collect()}
         assert [got[p] for p in prints] == roots
 
 
