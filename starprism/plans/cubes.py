@@ -18,6 +18,7 @@ ROUTED: dict[str, tuple[str, str]] = {  # name: SQL, kind of realization
     "cube_distinct_dims": ("SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem", "cube"),
     "cube_avg": ("SELECT l_linestatus, round(avg(l_quantity), 6) AS mean_qty FROM lineitem GROUP BY l_linestatus", "cube"),
     "cube_global": ("SELECT count(*) AS n, round(sum(l_quantity), 2) AS qty FROM lineitem", "cube"),
+    "cube_window": ("SELECT l_suppkey, round(sum(l_quantity), 2) AS qty, CAST(rank() OVER (ORDER BY sum(l_quantity) DESC, l_suppkey) AS BIGINT) AS place FROM lineitem GROUP BY l_suppkey", "cube"),
     "cube_fallback": ("SELECT l_tax, count(*) AS n FROM lineitem GROUP BY l_tax", "spark"),
 }
 
@@ -103,7 +104,12 @@ def detail_aggregate(spark, sf_dir):
 def lookup_scan(spark, sf_dir):
     """A query on a lookup alone reads its snapshot."""
     engine = sales_engine(spark, sf_dir)
-    return spark.read.parquet(engine.realizations["sales"].snapshots["supplier"]).selectExpr("supplier__s_suppkey AS s_suppkey", "supplier__s_name AS s_name").where("s_suppkey <= 50")
+    lookup = engine.expose_lookup("sales", "supplier")
+    out = engine.sql("SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey <= 50")
+    del engine.realizations[lookup.name]
+    if engine.last["kind"] != "lookup":
+        raise RuntimeError(f"routed to {engine.last}")
+    return out
 
 
 def cuboid_sizes(spark, sf_dir):

@@ -29,6 +29,7 @@ ROUTED = [
     "SELECT n, count(*) c, sum(q) s FROM (SELECT l_suppkey, count(*) n, sum(l_quantity) q FROM lineitem GROUP BY l_suppkey) t WHERE n > 1 GROUP BY n ORDER BY c DESC, n LIMIT 3",
     "SELECT s_suppkey, count(*) n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY s_suppkey",
     "SELECT count(*) n, sum(l_quantity) q FROM lineitem WHERE l_returnflag = 'no such'",
+    "SELECT l_suppkey, sum(l_quantity) q, rank() OVER (ORDER BY sum(l_quantity) DESC, l_suppkey) r, sum(sum(l_quantity)) OVER (PARTITION BY l_suppkey % 2 ORDER BY l_suppkey ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) w FROM lineitem GROUP BY l_suppkey",
     "SELECT upper(l_returnflag) || '!' f, count(*) + 1 n FROM lineitem GROUP BY l_returnflag",
 ]
 NOT_ROUTED = [
@@ -42,6 +43,7 @@ NOT_ROUTED = [
     "SELECT l_returnflag, count(*) n FROM lineitem WHERE l_shipdate > TIMESTAMP '1996-05-05 10:00:00' GROUP BY l_returnflag",
     "SELECT l_returnflag, count(*) n FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_nationkey = 3) GROUP BY l_returnflag",
     "SELECT n_name, count(*) n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY n_name",
+    "SELECT l_returnflag, l_returnflag, count(*) n FROM lineitem GROUP BY l_returnflag",
     "SELECT l_returnflag, sum(l_quantity) OVER (PARTITION BY l_returnflag) x FROM lineitem LIMIT 5",
 ]
 
@@ -168,6 +170,17 @@ def test_detail_store(spark, tmp_path):
         assert norm(engine.sql(q).collect()) == norm(spark.sql(q).collect()) and engine.last["kind"] == "detail", engine.last
 
 
+def test_exposed_lookups(spark, engine):
+    lookup = engine.expose_lookup("sales", "supplier")
+    try:
+        for q in ("SELECT s_name FROM supplier WHERE s_nationkey < 5 ORDER BY s_name LIMIT 3", "SELECT s_nationkey, count(*) n, max(s_suppkey) m FROM supplier s GROUP BY s_nationkey"):
+            assert norm(engine.sql(q).collect()) == norm(spark.sql(q).collect()) and engine.last["kind"] == "lookup", engine.last
+        engine.sql("SELECT count(*) n FROM lineitem")
+        assert engine.last["kind"] == "cube"
+    finally:
+        del engine.realizations[lookup.name]
+
+
 def test_rules_can_be_added(spark, engine):
     q = "SELECT l_returnflag, count(*) n FROM lineitem GROUP BY l_returnflag"
     with rule(engine, lambda found, d: []):
@@ -201,6 +214,7 @@ def test_sql_of_other_dialects():
     assert "having" in heal("select a from t group by a having count(1)>0")
     assert heal("select * from t where d = {d '2020-01-01'}") == "select * from t where d = DATE '2020-01-01'"
     assert sqlcompat.with_limit("select 1 limit 5", 9) == "select 1 limit 5" and sqlcompat.with_limit("select 1;", 9, 2) == "select 1 LIMIT 9 OFFSET 2"
+    assert heal("explain plan for select 1") == "EXPLAIN FORMATTED select 1"
     assert sqlcompat.is_query(" (select 1)") and sqlcompat.is_query("with a as (select 1) select * from a") and not sqlcompat.is_query("insert into t select 1")
     with pytest.raises(ValueError):
         heal("select {fn upper(a) from t")
