@@ -67,6 +67,6 @@ def sketch_distinct(column: Column, precision: int = 10) -> Column:
 
 
 def register(spark: SparkSession) -> None:
-    """Makes kquarter and initcap_words callable from SQL, as SQL functions that Catalyst inlines."""
-    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION kquarter(d DATE) RETURNS INT RETURN CAST(floor(month(d) / 4) + 1 AS INT)")
+    """Makes quarter_by_fours and initcap_words callable from SQL, as SQL functions that Catalyst inlines."""
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION quarter_by_fours(d DATE) RETURNS INT RETURN CAST(floor(month(d) / 4) + 1 AS INT)")
     spark.sql(r"CREATE OR REPLACE TEMPORARY FUNCTION initcap_words(s STRING) RETURNS STRING RETURN array_join(transform(regexp_extract_all(s, '([A-Za-z0-9]+|[^A-Za-z0-9]+)', 1), p -> concat(upper(substring(p, 1, 1)), lower(substring(p, 2)))), '')")

@@ -14,7 +14,7 @@ def test_functions(spark):
     days = spark.range(1, 13).select(F.make_date(F.lit(2020), F.col("id").cast("int"), F.lit(1)).alias("d"))
     assert [r[0] for r in days.orderBy("d").select(functions.quarter_by_fours(F.col("d"))).collect()] == [m // 4 + 1 for m in range(1, 13)]
     functions.register(spark)
-    assert spark.sql("SELECT kquarter(DATE '2020-07-01'), initcap_words('a-b c')").first() == (2, "A-B C")
+    assert spark.sql("SELECT quarter_by_fours(DATE '2020-07-01'), initcap_words('a-b c')").first() == (2, "A-B C")
     row = spark.range(1).select(functions.truncating_div(F.lit(-7), F.lit(2)), functions.round_to(F.lit(1234.5), F.lit(100.0))).first()
     assert row[0] == -3 and row[1] == 1200.0
 
