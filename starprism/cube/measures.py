@@ -50,3 +50,5 @@ def merge(m: Measure, by_name: dict[str, Measure]) -> Column:
 
 #: SQL over merged rows of cuboids, by the query's aggregate
 MERGE_SQL = {SUM: "sum({c})", COUNT: "coalesce(sum({c}), 0L)", MIN: "min({c})", MAX: "max({c})", DISTINCT: "hll_sketch_estimate(hll_union_agg({c}, true))"}
+#: the same where every group is one stored row
+ROW_SQL = {SUM: "{c}", COUNT: "{c}", MIN: "{c}", MAX: "{c}", DISTINCT: "hll_sketch_estimate({c})"}

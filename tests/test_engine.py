@@ -257,3 +257,12 @@ def test_duplicate_lookup_keys_are_refused(spark, tmp_path):
 def test_description_of_the_sales_cube():
     cube = sales_cube()
     assert CubeDesc.from_json(cube.to_json()) == cube
+
+
+def test_single_rows_are_not_grouped_again(spark):
+    engine = sales_engine(spark, SF, 1)
+    q = "SELECT l_returnflag, l_linestatus, sum(l_quantity) q, count(*) n, avg(l_quantity) a, max(l_extendedprice) m FROM lineitem WHERE l_linestatus <> 'x' GROUP BY l_returnflag, l_linestatus"
+    got = engine.sql(q)
+    assert "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString() and norm(got.collect()) == norm(spark.sql(q).collect())
+    sketch = engine.sql("SELECT l_returnflag, l_linestatus, approx_count_distinct(l_partkey) d FROM lineitem GROUP BY 1, 2").collect()
+    assert all(r.d > 10 for r in sketch)
