@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starprism.llm.common import Rows, WordCache, batches, id_and_text, list_parts, materialize, remainder, texts_of
+from starprism.llm.common import Rows, batches, id_and_text, list_parts, materialize, remainder, texts_of
 
 END = np.uint64(xxhash.xxh64_intdigest(b" ", 0))  # no word holds a space
 BASE = 1.5  # counts are kept as whole powers of it
@@ -52,24 +52,43 @@ def count_of(level: np.ndarray, least: int = 1) -> np.ndarray:
 class Tokens:
     """Tokens of whole texts as hashes, with each distinct word hashed once while it is cached."""
 
-    def __init__(self):
-        self.cache, self.hashes = WordCache(150_000, 5_000_000), Rows((), np.uint64)
+    def __init__(self, most_words: int = 150_000):
+        self.most_words = most_words
+        self._reset()
+
+    def _reset(self) -> None:
+        self.kept, self.hashes = pa.array([], pa.string()), Rows((), np.uint64)
+
+    def _hashes(self, words: pa.Array) -> np.ndarray:
+        """Hash of each distinct word. Those that come first are kept, up to a bound; if most are new, the kept ones go."""
+        found = pc.index_in(words, value_set=self.kept).fill_null(-1).to_numpy()
+        new = found < 0
+        if new.sum() > 0.7 * len(new) and len(self.kept) > self.most_words // 2:
+            self._reset()
+            new = np.ones(len(new), bool)
+        out = np.empty(len(words), np.uint64)
+        out[~new] = self.hashes.data[found[~new]]
+        fresh = words.filter(pa.array(new))
+        digest = xxhash.xxh64_intdigest
+        out[new] = np.fromiter((digest(w, 0) for w in fresh.cast(pa.binary()).to_pylist()), np.uint64, len(fresh))
+        if len(self.kept) + len(fresh) <= self.most_words:
+            self.kept = pa.concat_arrays([self.kept, fresh])
+            self.hashes.add(out[new])
+        return out
 
     def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct tokens as hashes (words in lower-case A-Z; the last is the end), each token's number among them (one
+        """Distinct tokens as hashes (words in lower-case A-Z; the last is the end; one may have no place), each token's number among them (one
         end after each text), where each text's tokens begin with the end last, and which tokens are ends."""
-        if self.cache.full():
-            self.cache.clear()
-            self.hashes = Rows((), np.uint64)
         flat, ends = list_parts(pc.ascii_split_whitespace(pc.ascii_lower(texts)))
-        real = pc.greater(pc.binary_length(flat), 0)
-        ends = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))])[ends]
-        coded = flat.filter(real).dictionary_encode()
-        numbers, new = self.cache.numbers(coded.dictionary.to_pylist())
-        if new:
-            self.hashes.add(np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), 0) for w in new), np.uint64, len(new)))
-        some = np.append(self.hashes.data[numbers], END)
-        which = np.insert(coded.indices.to_numpy(), ends[1:], len(numbers))
+        coded = flat.dictionary_encode()
+        which = coded.indices.to_numpy()
+        empty = np.flatnonzero(pc.equal(pc.binary_length(coded.dictionary), 0).to_numpy(zero_copy_only=False))
+        if len(empty):  # what stands before and after white space at a text's ends is no word
+            real = which != empty[0]
+            ends = np.concatenate([[0], np.cumsum(real)])[ends]
+            which = which[real]
+        some = np.append(self._hashes(coded.dictionary), END)
+        which = np.insert(which, ends[1:], len(some) - 1)
         ends = ends + np.arange(len(ends))
         last = np.zeros(len(which), bool)
         last[ends[1:] - 1] = True
@@ -89,20 +108,23 @@ def ngram_counts(docs: DataFrame) -> DataFrame:
     def rows(kind: int, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int8)), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["kind", "key", "n"])
 
+    def summed(held: list[np.ndarray]) -> pa.RecordBatch:
+        return rows(2, *np.unique(np.concatenate(held), return_counts=True))
+
     def counted(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, held, size = Tokens(), [], 0
         for batch in found:
             some, which, _, _ = tokens.of(texts_of(batch))
             n = np.bincount(which, minlength=len(some))
-            yield rows(1, some[n > 0], n[n > 0])
+            yield rows(1, some[n > 0], n[n > 0])  # the empty part counts nothing
             word = some[which]
             held.append(pair_keys(_before(word), word))
             size += len(word)
-            if size > 1_000_000:
-                yield rows(2, *np.unique(np.concatenate(held), return_counts=True))
+            if size > 400_000:
+                yield summed(held)
                 held, size = [], 0
         if size:
-            yield rows(2, *np.unique(np.concatenate(held), return_counts=True))
+            yield summed(held)
 
     return docs.select("doc_id", "text").mapInArrow(counted, "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
@@ -120,11 +142,11 @@ class LogBloom:
         return ((keys >> _U(24)) % _U(n_blocks)).astype(np.int64)
 
     @staticmethod
-    def place(keys: np.ndarray, level: int | np.ndarray, probe: int) -> np.ndarray:
-        """Position of a probe within the key's block."""
+    def steps(keys: np.ndarray, level: int | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and step of a key's probes for a level; probe i goes to (start + i * step) modulo the block's bits."""
         with np.errstate(over="ignore"):
             h = _mix(keys + np.asarray(level).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
-            return ((h + _U(probe) * ((h >> _U(32)) | _U(1))) & _U(BLOCK_BITS - 1)).astype(np.int64)
+        return (h & _U(BLOCK_BITS - 1)).astype(np.int32), ((h >> _U(40)) | _U(1)).astype(np.int32) & (BLOCK_BITS - 1)
 
     @staticmethod
     def fill(keys: np.ndarray, levels: np.ndarray) -> np.ndarray:
@@ -132,8 +154,10 @@ class LogBloom:
         every = np.repeat(keys, levels)
         each = np.arange(len(every)) - np.repeat(np.cumsum(levels) - levels, levels) + 1
         bits = np.zeros(BLOCK_BITS, bool)
-        for i in range(PROBES):
-            bits[LogBloom.place(every, each, i)] = True
+        at, step = LogBloom.steps(every, each)
+        for _ in range(PROBES):
+            bits[at] = True
+            at = (at + step) & (BLOCK_BITS - 1)
         return np.packbits(bits, bitorder="little")
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
@@ -142,14 +166,15 @@ class LogBloom:
         alive = np.flatnonzero((base >= 0) & (base < len(self.data)))
         out = np.zeros(len(keys), np.int64)
         level = 0
+        base, keys = base[alive], keys[alive]
         while len(alive):  # one more level for the keys that hold all levels so far
             level += 1
-            left = keys[alive]
-            for i in range(PROBES):  # most absent keys go at the first probe
-                at = self.place(left, level, i)
-                hit = (self.data[base[alive] + (at >> 3)] >> (at & 7).astype(np.uint8)) & 1 != 0
+            at, step = self.steps(keys, level)
+            for _ in range(PROBES):  # most absent keys go at the first probe
+                hit = (self.data[base + (at >> 3)] >> (at & 7).astype(np.uint8)) & 1 != 0
                 if not hit.all():
-                    alive, left = alive[hit], left[hit]
+                    alive, base, keys, at, step = (x[hit] for x in (alive, base, keys, at, step))
+                at = (at + step) & (BLOCK_BITS - 1)
             out[alive] = level
         return out
 
@@ -202,7 +227,7 @@ def score(docs: DataFrame, training: DataFrame, most_words: int = MOST_WORDS, mo
     exact counts are joined instead of broadcast, beyond ``most_filter`` bytes the filter is used in stretches.
     """
     spark = docs.sparkSession
-    batches(spark, 1000)
+    batches(spark, 400)  # a worker holds the broadcast and a batch's arrays
     ngrams = materialize(ngram_counts(id_and_text(training)).where((F.col("kind") == 1) | (F.col("n") >= LEAST_PAIR)), "ngrams")
     n, v = (int(x or 0) for x in ngrams.where("kind = 1").agg(F.sum("n"), F.count(F.lit(1))).first())
     blocks, n_blocks = build_filter(ngrams)
@@ -232,15 +257,18 @@ def _scored(spark: SparkSession, rows: DataFrame, ngrams: DataFrame, blocks: Dat
     def scored(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts, data = shared.value
         bloom, tokens = LogBloom(data, n_blocks), Tokens()
-        for batch in found:
+
+        def one(batch: pa.RecordBatch) -> pa.RecordBatch:  # a function, so that a batch's arrays go before the next one's come
             some, which, ends, _ = tokens.of(texts_of(batch))
-            word = some[which]
+            heads, word = ends[:-1], some[which]
             at = np.minimum(np.searchsorted(keys, some.view(np.int64)), max(0, len(keys) - 1))
             c = np.where(keys[at] == some.view(np.int64), counts[at], 0) if len(keys) else np.zeros(len(some), np.int64)
-            base = np.log10((c + 1) / (n + v + 1))[which]
-            total = log_scores(bloom.levels(some)[which], bloom.levels(pair_keys(_before(word), word)), ends, n, v)
-            heads = ends[:-1]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(ends)), pa.array(np.add.reduceat((c > 0)[which], heads, dtype=np.int64)), pa.array(np.add.reduceat(base, heads)), pa.array(total)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
+            base = np.add.reduceat(np.log10((c + 1) / (n + v + 1))[which], heads)
+            pairs, at_pair = np.unique(pair_keys(_before(word), word), return_inverse=True)
+            total = log_scores(bloom.levels(some)[which], bloom.levels(pairs)[at_pair], ends, n, v)
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(ends)), pa.array(np.add.reduceat((c > 0)[which], heads, dtype=np.int64)), pa.array(base), pa.array(total)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
+
+        yield from map(one, found)
 
     return rows.mapInArrow(scored, "doc_id long, n_tokens long, n_known long, base_score double, score double")
 

@@ -212,4 +212,4 @@ def test_log_bloom_never_tells_less():
 def test_tokens_as_hashes():
     some, which, ends, last = lm.Tokens().of(pa.array(["A b", "", "  ", "a"]))
     word = some[which]
-    assert len(some) == 3 and some[-1] == lm.END and ends.tolist() == [0, 3, 4, 5, 7] and last.tolist() == [False, False, True, True, True, False, True] and word[0] == word[5]
+    assert len(set(which)) == 3 and some[-1] == lm.END and ends.tolist() == [0, 3, 4, 5, 7] and last.tolist() == [False, False, True, True, True, False, True] and word[0] == word[5]
