@@ -13,10 +13,16 @@ from starprism.cube.model import COUNT, DISTINCT, MAX, MIN, SUM, CubeDesc, Join,
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
+_tables: dict[tuple, dict] = {}
+
+
 def views(spark: SparkSession, sf_dir: str) -> None:
-    """The tables of a folder as temporary views."""
-    for t in TABLES:
-        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+    """The tables of a folder as temporary views. Their schemas are looked up once for an application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _tables:
+        _tables[key] = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
+    for t, df in _tables[key].items():
+        df.createOrReplaceTempView(t)
 
 
 def sales_model(start: str = "1992-01-01", kind: str = "inner") -> StarModel:
@@ -34,7 +40,7 @@ def sales_cube(name: str = "sales", start: str = "1992-01-01", kind: str = "inne
         name, sales_model(start, kind), tuple(RowKey(c) for c in columns),
         (
             Measure("n", COUNT), Measure("qty", SUM, ("lineitem.l_quantity",), "double"), Measure("price", SUM, ("lineitem.l_extendedprice",), "double"),
-            Measure("least", MIN, ("lineitem.l_extendedprice",), "double"), Measure("most", MAX, ("lineitem.l_extendedprice",), "double"), Measure("parts", DISTINCT, ("lineitem.l_partkey",), "hllc(14)"),
+            Measure("least", MIN, ("lineitem.l_extendedprice",), "double"), Measure("most", MAX, ("lineitem.l_extendedprice",), "double"), Measure("parts", DISTINCT, ("lineitem.l_partkey",), "hllc(12)"),
         ),
         groups=(("lineitem.l_returnflag", "lineitem.l_linestatus", "lineitem.ship_year", "lineitem.ship_quarter", "lineitem.ship_month"), ("lineitem.l_returnflag", "lineitem.l_suppkey", "part.p_brand", "part.p_size")),
         hierarchies=(("lineitem.ship_year", "lineitem.ship_quarter", "lineitem.ship_month"),),
