@@ -1,4 +1,6 @@
-from tests.llm.conftest import prose
+import random
+
+from tests.llm.conftest import CASES, WORDS, prose
 
 from starprism.llm import decontamination
 
@@ -20,3 +22,45 @@ def test_a_passage_of_one_item_is_enough(spark, tmp_path):
     out = corpus_pipeline.drop_contaminated(spark, docs, sf)
     assert sorted(map(tuple, out.collect())) == [texts[i] for i in (2, 3, 5)] and out.columns == docs.columns
     assert [r.contaminated for r in decontamination.decontaminate(docs, items).orderBy("doc_id", "n_items").collect()] == [False, False, True, False, False, False, False, False]
+
+
+def kept_by_force(rows):
+    """Of each group of texts that links of a 5-word Jaccard of 0.8 reach, the row of the smallest id."""
+    sets = []
+    for _, t in rows:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    label = list(range(len(rows)))
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                label[max(root(i), root(j))] = min(root(i), root(j))
+    groups = {}
+    for i, row in enumerate(rows):
+        groups.setdefault(root(i), []).append(row)
+    return sorted((min(g, key=lambda r: (r[0] is None, r[0] or 0)) for g in groups.values()), key=str)
+
+
+def test_near_duplicates_as_by_force(spark):
+    import corpus_pipeline
+
+    r = random.Random(9)
+    rows = [c for c in CASES if c[0] != 11]  # A-Z alone are lowered
+    for i in range(40):
+        base = [r.choice(WORDS) + str(r.randrange(50)) for _ in range(r.randrange(20, 200))]
+        for j in range(4):  # copies on either side of 0.8, and chains of them
+            for _ in range(r.randrange(4)):
+                base[r.randrange(len(base))] = f"new{i}x{j}"
+            rows.append((100 + 4 * i + j, " ".join(base)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = sorted(map(tuple, corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()), key=str)
+    assert out == kept_by_force(rows) and 60 < len(out) < 150
+    dense = [(i, " ".join(f"w{j}" if j != i % 97 else f"v{i}" for j in range(97))) for i in range(400)]
+    left = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(dense, "doc_id long, text string"), "").collect()
+    assert sorted(map(tuple, left)) == kept_by_force(dense) and len(left) == 1
