@@ -16,7 +16,7 @@ from starprism.llm.common import Rows, batches, id_and_text, list_parts, materia
 
 END = np.uint64(xxhash.xxh64_intdigest(b" ", 0))  # no word holds a space
 BASE = 1.5  # counts are kept as whole powers of it
-LEAST_PAIR = 2  # pairs seen once aren't stored
+LEAST_PAIR = 1  # pairs are stored from this count on: all
 BLOCK_BITS = 1 << 19  # all probes of a key fall into one block
 BITS_EACH, PROBES = 12, 6  # bits for each stored level, positions for each
 MIX = 0.7  # weight of the pair estimate
