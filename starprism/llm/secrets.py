@@ -56,10 +56,10 @@ class _Intervals:
         return i < len(self.starts) and self.starts[i] < high
 
 
-def linked_spans(text: str, base: list[Span], reach: int = 200) -> list[Span]:
+def linked_spans(text: str, base: list[Span], reach: int | None = 200) -> list[Span]:
     """Weak candidates that complementary parts make credible.
 
-    A part's scope is its paragraph (up to blank lines), at most ``reach`` code points to either side. Identifiers are
+    A part's scope is its paragraph (up to blank lines), with ``reach`` at most so many code points to either side. Identifiers are
     base access spans and weak ones; secrets are base assign and hex spans and weak ones. A weak identifier is reported
     if a secret begins in its scope, a weak secret if an identifier does, an endpoint if both do. Each part asks the
     sorted starts of the others, so no pairs are listed, however many parts a text holds.
@@ -88,7 +88,8 @@ def linked_spans(text: str, base: list[Span], reach: int = 200) -> list[Span]:
 
     def scope(a: int, b: int) -> tuple[int, int]:
         i, j = bisect_left(breaks, a), bisect_left(breaks, b)
-        return max(a - reach, breaks[i - 1] if i else 0), min(b + reach, breaks[j] if j < len(breaks) else len(text))
+        low, high = breaks[i - 1] if i else 0, breaks[j] if j < len(breaks) else len(text)
+        return (low, high) if reach is None else (max(a - reach, low), min(b + reach, high))
 
     all_ids, secrets = _Intervals(ids + weak_ids), _Intervals(strong + weak)
     out: list[Span] = [("weak_id", *s) for s in weak_ids if secrets.within(*scope(*s))]
@@ -110,11 +111,11 @@ def redacted(text: str, spans: list[Span], mark: str = "[REDACTED]") -> str:
     return "".join([*out, text[at:]])
 
 
-def scan(docs: DataFrame, reach: int = 200) -> DataFrame:
+def scan(docs: DataFrame, reach: int | None = None) -> DataFrame:
     """A row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans.
 
     A null text counts as empty. Rows are judged one by one, so null ids, repeated rows and ties need no care, and an
-    empty table gives an empty one; a text of any length is scanned whole.
+    empty table gives an empty one; a text of any length is scanned whole. Parts are linked over their whole paragraph.
     """
 
     def scanned(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,7 +132,7 @@ def scan(docs: DataFrame, reach: int = 200) -> DataFrame:
     return id_and_text(docs).mapInArrow(scanned, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
-def redact(docs: DataFrame, reach: int = 200) -> DataFrame:
+def redact(docs: DataFrame, reach: int | None = None) -> DataFrame:
     """The documents with every reported span masked in ``text``; null texts stay null, and n_chars, where there is such
     a column, follows the new text. All rows and columns are kept."""
     schema = docs.schema
