@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
@@ -17,9 +18,12 @@ _shipped: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where it is unset (local runs only)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset a local run, whose executors are
+    this process, gets a folder of its own; a cluster raises, since its executors couldn't read one another's folders."""
     if found := spark.sparkContext.getConf().get("spark.checkpoint.dir"):
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own_dir:
         _own_dir.append("file://" + tempfile.mkdtemp(prefix="starprism-"))
     return _own_dir[0]
@@ -65,11 +69,56 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
-def batches(spark: SparkSession, rows: int = 3000) -> None:
-    """Arrow batches of at most so many rows, and so many bytes where Spark has the setting: long texts then don't pile up in a worker."""
+def batches(spark: SparkSession) -> None:
+    """Makes the library known to the executors and bounds the bytes of an Arrow batch, which long texts could swell. The
+    byte bound is a setting of the session that stays, since plans read it when they run; a bound that was set stays."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "1") in ("1", "1b"):  # not set
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
+def parts_of(found: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The batches cut to at most so many rows, whatever the session's setting."""
+    for batch in found:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with underscores until no column of the table has it (names differ in more than case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def with_row_id(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The documents with a long that tells every row apart, written to the shared folder so that each later reading sees
+    the same number; and the column's name, which no column of the documents has."""
+    own = free_name(docs, "row_id")
+    return materialize(docs.withColumn(own, F.monotonically_increasing_id()), name), own
+
+
+def row_id_and_text(docs: DataFrame, own: str) -> DataFrame:
+    """rid, doc_id and text of documents that carry the row id ``own``."""
+    return docs.select(F.col(own).alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+_U = np.uint64
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finalizer: every input bit reaches every output bit."""
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
+        return x ^ (x >> _U(31))
+
+
+def pair_keys(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """A hash of two hashes in their order."""
+    with np.errstate(over="ignore"):
+        return mix(before * _U(0x9E3779B97F4A7C15) + word)
 
 
 def id_and_text(docs: DataFrame) -> DataFrame:

@@ -8,18 +8,29 @@ from pyspark.sql import functions as F
 from starprism.llm.common import forget, materialize
 
 
+SALTS = 8
+
+
+def salted_join(many: DataFrame, one: DataFrame, by: str, spread: str, salts: int = SALTS) -> DataFrame:
+    """Joins rows of ``many`` with the single row that ``one`` has for a key. A key's rows are dealt to ``salts`` places by
+    the column ``spread`` and its single row is copied to each, so that a hub's rows don't land in one task."""
+    dealt = many.withColumn("salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    copied = one.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.join(copied, [by, "salt"]).drop("salt")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Links each node's larger neighbours to the least of the node and its neighbours."""
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.where(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    return salted_join(both.where(F.col("b") > F.col("a")), least, "a", "b").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Links each node and its smaller neighbours to the least of these."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where(F.col("a") != F.col("b"))
     least = down.groupBy("a").agg(F.min("b").alias("m"))
-    side = down.join(least, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    side = salted_join(down, least, "a", "b").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     return side.union(least.select("a", F.col("m").alias("b"))).distinct()
 
 

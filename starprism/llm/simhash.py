@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from starprism.llm.common import batches, id_and_text, list_parts, materialize, texts_of
-from starprism.llm.components import connected
+from starprism.llm.components import connected, salted_join
 
 SHINGLE_WORDS, SEED, DISTANCE = 4, 42, 4
 #: Up to so many fingerprints three segments (46 probes each, keys of 21 bits) cost less than two (562 probes, 32 bits),
@@ -138,9 +138,11 @@ def near_links(marks: DataFrame, distance: int = DISTANCE, pieces: int | None =
     links = materialize(pairs.select(F.col("root").alias("a"), F.col("other").alias("b")).distinct(), "links")
     roots = materialize(labelled.select(F.col("root").alias("node")).distinct(), "roots")
     second = connected(roots, links).select(F.col("node").alias("root"), F.col("root").alias("top"))
-    merged = labelled.join(second, "root").select("fp", "top").join(marks, "fp")
-    tops = merged.groupBy("top").agg(F.min("rep").alias("label"))
-    return merged.join(tops, "top").select("fp", "label")
+    # labels are summed within roots first; what is joined by a root is dealt by the fingerprint too
+    reps = materialize(labelled.join(marks, "fp").groupBy("root").agg(F.min("rep").alias("rep")).join(second, "root"), "root-reps")
+    tops = reps.groupBy("top").agg(F.min("rep").alias("label"))
+    named = salted_join(reps, tops, "top", "root").select("root", "label")
+    return salted_join(labelled, named, "root", "fp").select("fp", "label")
 
 
 def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, distance: int = DISTANCE) -> DataFrame:
@@ -148,9 +150,10 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, distance: int =
 
     Documents of one fingerprint are one class, so copies are never paired. Texts without words (null, empty, white
     space) have fingerprint zero and are linked like any other. A null doc_id gets a row and never names a component
-    unless no other id is there (component_id is then null). Repeated rows are rows. An empty table gives an empty one.
+    unless no other id is there (component_id is then null). Repeated rows are rows. Texts of any length are read whole.
+    Other columns, whatever their names, play no part. An empty table gives an empty one.
     """
     marked = materialize(fingerprints(docs, words), "fingerprints")
     marks = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")), "marks")
     label = materialize(near_links(marks, distance), "labels")
-    return marked.join(label, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("label").alias("component_id"))
+    return salted_join(marked.withColumn("place", F.monotonically_increasing_id()), label, "fp", "place").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("label").alias("component_id"))

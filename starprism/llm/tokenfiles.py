@@ -98,7 +98,7 @@ def read_token_files(spark: SparkSession, folder: str, starts: DataFrame | None
                 crc = [zlib.crc32(view[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(ids), pa.string()), pa.array(ids, pa.int64()), pa.array(ends - lengths, pa.int64()), pa.array(lengths, pa.int64()), pa.array(crc, pa.int64())], ["name", "doc_id", "inside", "n_tokens", "ids_crc32"])
 
-    batches(spark, 4)
+    batches(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wvm").load(folder)
     read = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content").mapInArrow(documents, "name string, doc_id long, inside long, n_tokens long, ids_crc32 long")
     batches(spark)

@@ -163,7 +163,7 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, block: int = 1024,
                 out.append(len(x) * 1_000_000 + (int((near @ np.array(x)).argmax()) if near is not None else 0))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64()), *batch.columns], ["place", "vec_id", "cells"])
 
-    batches(spark, 2000)
+    batches(spark)
     total = rows.count()
     layout = "dims int, first long, ids binary, cells binary"
     near = rows.mapInArrow(placed, "place long, vec_id long, cells array<double>")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from starprism.llm.common import Rows, WordCache, batches, id_and_text, list_parts, remainder, spread, texts_of
+from starprism.llm.common import Rows, WordCache, batches, free_name, id_and_text, list_parts, remainder, spread, texts_of
 from starprism.llm.nn import Adam, both_back, both_ways, glorot, sigmoid
 from starprism.llm.sampling import stratified
 
@@ -239,14 +239,8 @@ def fit(docs: DataFrame, labels: DataFrame, each: int = 1500, longest: int = 20_
     return train([r[1] for r in rows], np.array([r[2] for r in rows])) if rows else None
 
 
-def score(docs: DataFrame, net: WindowNet | None, carry: bool = False) -> DataFrame:
-    """doc_id, held_out, score, predicted of whole texts: all overlapping windows are scored, the largest counts.
-
-    Null and empty texts are scored as a window without words. A null doc_id isn't held out. Without a trained network
-    all scores are 0. Repeated rows are rows, and an empty table gives an empty one. With ``carry`` the documents keep
-    their columns, and score and predicted are added (and replace columns of these names).
-    """
-    held = docs.sparkSession.sparkContext.broadcast(net)
+def _scorer(held, at: str, name: str):
+    """Adds a column of scores to batches whose texts are in the column ``at``."""
 
     def scored(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
@@ -257,23 +251,40 @@ def score(docs: DataFrame, net: WindowNet | None, carry: bool = False) -> DataFr
                 if cache.full():
                     cache.clear()
                     rows = Rows((6 * HIDDEN,), np.float32)
-                flat, ends = list_parts(pc.ascii_split_whitespace(pc.utf8_lower(texts_of(batch))))
+                flat, ends = list_parts(pc.ascii_split_whitespace(pc.utf8_lower(texts_of(batch, at))))
                 coded = flat.dictionary_encode()
                 numbers, new = cache.numbers(coded.dictionary.to_pylist())
                 if new:
                     rows.add(model.projected(_clean(new)))
                 start, size, of = windows(ends)
                 logit = model.scores(rows.data, start, size, numbers[coded.indices.to_numpy()])
-                out = sigmoid(np.maximum.reduceat(logit, np.searchsorted(of, np.arange(len(ends) - 1))).astype(np.float64))
-            yield pa.RecordBatch.from_arrays([*(batch.columns if carry else [batch.column(0)]), pa.array(out)], [*(batch.schema.names if carry else ["doc_id"]), "_score"])
+                out = sigmoid(np.maximum.reduceat(logit, np.searchsorted(of, np.arange(len(ends) - 1))).astype(np.float64)) if len(of) else out
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*batch.schema.names, name])
+
+    return scored
+
+
+def score(docs: DataFrame, net: WindowNet | None) -> DataFrame:
+    """doc_id, held_out, score, predicted of whole texts: all overlapping windows are scored, the largest counts.
+
+    Null and empty texts are scored as a window without words; texts of any length are scored whole. A null doc_id isn't
+    held out. Without a trained network all scores are 0. Repeated rows are rows, other columns, whatever their names,
+    play no part, and an empty table gives an empty one.
+    """
+    batches(docs.sparkSession)
+    out = id_and_text(docs).mapInArrow(_scorer(docs.sparkSession.sparkContext.broadcast(net), "text", "score"), "doc_id long, text string, score double")
+    return out.select("doc_id", F.coalesce(remainder(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
 
+def keep_clean(docs: DataFrame, net: WindowNet | None) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose text the network doesn't call toxic."""
     batches(docs.sparkSession)
-    if carry:
-        rows = docs.mapInArrow(scored, StructType([*docs.schema.fields, StructField("_score", DoubleType())]))
-        return rows.withColumns({"score": F.col("_score"), "predicted": (F.col("_score") >= 0.5).cast("int")}).drop("_score")
-    out = id_and_text(docs).mapInArrow(scored, "doc_id long, _score double")
-    return out.select("doc_id", F.coalesce(remainder(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
+    name = free_name(docs, "toxicity")
+    schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])
+    text = next(c for c in docs.columns if c.lower() == "text")
+    return docs.mapInArrow(_scorer(docs.sparkSession.sparkContext.broadcast(net), text, name), schema).where(F.col(name) < 0.5).select(*docs.columns)
 
 
 def op5(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``score`` of all documents by a network that ``fit`` trains on the labels of documents that aren't held out."""
     return score(docs, fit(docs, labels))

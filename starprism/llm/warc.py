@@ -175,7 +175,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, archive_
         if members:
             yield close()
 
-    batches(pages.sparkSession, 500)
+    batches(pages.sparkSession)
     return materialize(marked.mapInArrow(archived, "name string, n_records long"), "archives")
 
 
@@ -213,7 +213,7 @@ def read_archives(spark: SparkSession, folder: str, payloads: bool = False) -> t
 
         return records
 
-    batches(spark, 2)
+    batches(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
     rows = files.mapInArrow(read(False), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payloads)
     gaps = files.mapInArrow(read(True), "name string, gap_start long, gap_end long, reason string")

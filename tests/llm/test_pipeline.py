@@ -1,8 +1,10 @@
 import zlib
 
 from tests.conftest import SF
+from tests.llm.conftest import prose
+from tests.llm.test_pipeline_stages import kept_by_force
 
-from starprism.llm import decontamination, secrets, simhash, toxicity
+from starprism.llm import decontamination, secrets, toxicity
 from starprism.llm.common import table
 
 
@@ -15,12 +17,12 @@ def test_stages_do_what_their_operators_say(spark):
     toxic = {r.doc_id for r in toxicity.op5(docs, table(spark, SF, "labels")).collect() if r.predicted}
     kept = stages["toxicity"](spark, docs, SF)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {r.doc_id for r in docs.collect()} - toxic
-    groups = simhash.near_duplicates(docs).collect()
     alone = stages["near_duplicates"](spark, docs.union(docs.limit(5)), SF)
-    assert sorted(r.doc_id for r in alone.collect()) == sorted({r.component_id for r in groups}) and alone.columns == docs.columns
-    bad = {r.doc_id for r in decontamination.decontaminate(docs, table(spark, SF, "benchmark")).collect() if r.contaminated}
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    assert sorted(((r.doc_id, r.text) for r in alone.collect()), key=str) == kept_by_force(rows) and alone.columns == docs.columns
+    bad = {r.doc_id for r in decontamination.decontaminate(docs, table(spark, SF, "benchmark")).collect() if r.n_items}
     clean = stages["decontamination"](spark, docs, SF)
-    assert {r.doc_id for r in clean.collect()} == {r.doc_id for r in docs.collect()} - bad and clean.columns == docs.columns
+    assert bad and {r.doc_id for r in clean.collect()} == {r.doc_id for r in docs.collect()} - bad and clean.columns == docs.columns
     masked = stages["secrets"](spark, docs, SF)
     assert masked.count() == docs.count() and all(not secrets.base_spans(r.text) for r in masked.collect())
     pieces = stages["packing"](spark, docs, SF)
@@ -36,6 +38,22 @@ def test_empty_documents(spark):
         assert out.count() == 0
 
 
+def test_stages_judge_each_row(spark):
+    """Null ids, an id with two texts, repeated rows, and columns with the operators' own names."""
+    import corpus_pipeline
+
+    a, b, c = prose(40, 1), prose(50, 2), prose(60, 3)
+    rows = [(3, b), (5, a), (5, b), (None, a), (None, c), (7, None), (7, None)]
+    names = ["score", "predicted", "_score", "_row_key", "k", "row_id", "rid", "toxicity", "term", "pos"]
+    docs = spark.createDataFrame([(i, t, *[0.5 + j for j in range(len(names))]) for i, t in rows], "doc_id long, text string, " + ", ".join(f"{n} double" for n in names))
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns and all(tuple(r)[2:] == tuple(0.5 + j for j in range(len(names))) for r in out.collect())
+        kept = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+        assert kept == sorted([(3, b), (5, a), (None, c), (7, None)] if name == "near_duplicates" else rows, key=str)
+    assert corpus_pipeline.pack_sequences(spark, docs, SF).count() == len(rows)
+
+
 def test_whole_run(spark):
     import __spark_entry__
 

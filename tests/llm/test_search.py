@@ -3,6 +3,7 @@ import gzip
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 from tests.llm.conftest import CASES, prose
@@ -79,7 +80,7 @@ def test_decontamination(spark, docs, empty):
     rows = CASES + more
     made = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, k int")
     bench = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, words string")
-    got = sorted(map(tuple, decontamination.decontaminate(made, bench).collect()), key=str)
+    got = sorted((tuple(r)[:6] for r in decontamination.decontaminate(made, bench).collect()), key=str)
     want = sorted(((i, *hits_by_force(t, items)) for i, t in rows), key=str)
     assert got == want
     assert decontamination.decontaminate(empty, bench).collect() == []
@@ -91,21 +92,42 @@ def test_random_phrases(spark):
     word = lambda: r.choice("abc")
     docs = [(i, " ".join(word() for _ in range(r.randrange(0, 60)))) for i in range(60)]
     items = [(i, " ".join(word() for _ in range(r.randrange(0, 12)))) for i in range(40)]
-    got = sorted(map(tuple, decontamination.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()))
-    assert got == sorted((i, *hits_by_force(t, items)) for i, t in docs)
-
-
-def test_large_sides_are_not_broadcast(spark):
-    docs = spark.createDataFrame([(1, prose(50, 2))], "k long, text string")
-    terms = spark.createDataFrame([(w,) for w in set(re.sub("[,.]", "", prose(50, 2)).split())], "term string")
-    assert sorted(decontamination.term_counts(docs, terms, most=1).collect()) == sorted(decontamination.term_counts(docs, terms).collect())
+    made = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for most in (decontamination.BROADCAST_ROWS, 1):  # with small sides broadcast, and with everything joined by a shuffle
+        got = sorted(map(tuple, decontamination.decontaminate(*made, most=most).collect()))
+        assert [g[:6] for g in got] == sorted((i, *hits_by_force(t, items)) for i, t in docs)
+        assert {g[0]: g[6] for g in got} == near_by_force(docs, items)
+
+
+def near_by_force(docs, items, slop=8, rare=3):
+    own = {i: t.split() for i, t in docs}
+    places = Counter(w for ws in own.values() for w in ws)
+    out = {i: 0 for i, _ in docs}
+    for i, ws in own.items():
+        for words in {tuple(t.split()) for _, t in items}:
+            terms = sorted((places[w], words.index(w), w) for w in set(words) if places[w])[:rare]
+            shifts = [[p - at for p, x in enumerate(ws) if x == w] for _, at, w in terms]
+            near = any(abs(x - y) <= slop for j in range(len(shifts)) for k in range(j) for x in shifts[j] for y in shifts[k])
+            out[i] += near * len({n for n, t in items if tuple(t.split()) == words})
+    return out
+
+
+def test_index_holds_every_place(spark):
+    docs = spark.createDataFrame([(7, 1, "a b, a"), (8, None, None)], "rid long, doc_id long, text string")
+    items = decontamination.item_words(spark.createDataFrame([(1, "A c")], "item_id long, text string"))
+    terms = decontamination.vocabulary(items)
+    number = {r.name: r.term for r in terms.collect()}
+    for most in (0, 100):
+        index = decontamination.positional_index(docs, terms, most)
+        assert sorted(map(tuple, index.collect()), key=str) == sorted([(number["a"], 7, 0, None), (number["a"], 7, 2, None), (-1, 7, 3, 1), (-1, 8, 0, None)], key=str)
+        assert decontamination.term_counts(index).collect() == [(number["a"], 2)]
 
 
 def test_proximity(spark):
-    docs = spark.createDataFrame([(1, "zebra one two quokka three"), (2, "zebra " + "filler " * 40 + "quokka"), (3, "zebra")], "k long, text string")
-    items = spark.createDataFrame([(1, "zebra quokka filler filler")], "item_id long, text string")
-    got = decontamination.proximity_hits(docs, items, slop=4, rare=2).collect()
-    assert {r.k for r in got} == {1}
+    docs = [(1, "zebra one two quokka three"), (2, "zebra " + "filler " * 40 + "quokka"), (3, "zebra")]
+    items = [(1, "zebra quokka mango mango")]
+    got = decontamination.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {r.doc_id: r.n_near for r in got} == {1: 1, 2: 0, 3: 0} == near_by_force(docs, items)
 
 
 def top_by_force(rows, k=20, every=20):

@@ -96,8 +96,8 @@ def test_toxicity(spark, docs, empty):
     assert len(rows) == len(CASES) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
     assert toxicity.op5(empty, labels).collect() == []
     assert {r.score for r in toxicity.op5(docs, labels.limit(0)).collect()} == {0.0}
-    kept = toxicity.score(docs, None, carry=True)
-    assert set(docs.columns) <= set(kept.columns) and kept.count() == len(CASES)
+    kept = toxicity.keep_clean(docs.withColumn("toxicity", docs.score), None)
+    assert kept.columns == [*docs.columns, "toxicity"] and kept.count() == len(CASES) and {r.toxicity for r in kept.collect()} == {0.5}
 
 
 def test_windows_overlap_and_cover():
@@ -157,58 +157,72 @@ def test_redaction(spark, docs):
     assert secrets.redacted("abcdef", [("a", 1, 3), ("b", 2, 4)]) == "a[REDACTED]ef"
 
 
-def lm_by_force(rows):
+def lm_by_force(rows, strength=4.0):
     import zlib
 
     tokens = [re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) + ["\0end"] for _, t in rows]
     train = [t for (i, _), t in zip(rows, tokens, strict=True) if i is not None and zlib.crc32(str(i).encode()) % 7 != 2]
     words = Counter(w for t in train for w in t)
     pairs = Counter(p for t in train for p in zip(["\0end", *t], t, strict=False))
+    triples = Counter(p for t in train for p in zip(["\0end", *t], t, t[1:], strict=False))
     n, v = sum(words.values()), len(words)
-    quantised = lambda c, least: float(lm.count_of(lm.level_of(np.array([c]), least))[0] if least == 1 else lm.count_of(lm.level_of(np.array([c]), least), least)[0]) if c >= least else 0.0
+    q = lambda c: float(lm.count_of(lm.level_of(np.array([c])))[0]) if c else 0.0
     out = []
     for t in tokens:
-        base = sum(math.log10((words[w] + 1) / (n + v + 1)) for w in t)
-        score = sum(math.log10(lm.MIX * min(1, quantised(pairs[a, b], lm.LEAST_PAIR) / max(quantised(words[a], 1), 1)) + (1 - lm.MIX) * min(1, (quantised(words[b], 1) + 1) / (n + v + 1))) for a, b in zip(["\0end", *t], t, strict=False))
+        base, score = sum(math.log10((words[w] + 1) / (n + v + 1)) for w in t), 0.0
+        for i, w in enumerate(t):
+            before = t[i - 1] if i else "\0end"
+            p = min(1, (q(words[w]) + 1) / (n + v + 1))
+            p = (min(q(pairs[before, w]), q(words[before])) + strength * p) / (q(words[before]) + strength)
+            if i:
+                context = pairs[t[i - 2] if i > 1 else "\0end", before]
+                p = (min(q(triples[t[i - 2] if i > 1 else "\0end", before, w]), q(context)) + strength * p) / (q(context) + strength)
+            score += math.log10(p)
         out.append((len(t), sum(words[w] > 0 for w in t), n, base, score))
     return out
 
 
-def test_language_model(spark, docs, empty):
+def test_language_model(spark, docs, empty, monkeypatch):
     want = sorted(zip([i or -1 for i, _ in CASES], lm_by_force(CASES), strict=True), key=str)
-    for most in ({}, {"most_words": 1}, {"most_filter": lm.BLOCK_BITS // 8, "most_words": 1}):
-        training = docs.where(lm.remainder(lm.F.col("doc_id"), 7) != 2)
-        rows = lm.score(docs, training, **most).collect()
+    for most in (lm.GROUP_GRAMS, 500):  # one group, and many
+        monkeypatch.setattr(lm, "GROUP_GRAMS", most)
+        rows = lm.op9(docs).collect()
         got = sorted(((r.doc_id or -1, (r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score)) for r in rows), key=str)
         assert [g[0] for g in got] == [w[0] for w in want]
         for (_, g), (_, w) in zip(got, want, strict=True):
-            assert g[:3] == w[:3] and math.isclose(g[3], w[3], rel_tol=1e-9) and abs(g[4] - w[4]) <= 0.05 * abs(w[4]) + 0.5
+            assert g[:3] == w[:3] and math.isclose(g[3], w[3], rel_tol=1e-9) and abs(g[4] - w[4]) <= 0.02 * abs(w[4]) + 0.5
     assert lm.op9(empty).collect() == []
-    alone = lm.score(docs, empty).collect()
+    alone = lm.score(docs, lm.F.lit(False)).collect()
     assert all(r.base_score == 0 and r.n_known == 0 and r.train_tokens == 0 for r in alone)
 
 
-def test_filter_in_stretches_gives_the_same(spark):
-    rows = [(i, prose(200, i) + f" w{i} v{i % 7}x") for i in range(80)]
-    many = spark.createDataFrame([(i, " ".join(f"{w}{i % 40}{j}" for j, w in enumerate(t.split()))) for i, t in rows * 4], "doc_id long, text string")
-    whole = {(r.doc_id, r.n_tokens): r.score for r in lm.score(many, many).collect()}
-    parts = {(r.doc_id, r.n_tokens): r.score for r in lm.score(many, many, most_filter=1).collect()}
-    assert whole.keys() == parts.keys() and all(math.isclose(whole[k], parts[k], rel_tol=1e-9) for k in whole)
+def test_a_text_seen_twice_is_likelier(spark):
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(50))) for i in range(1, 60)]
+    docs = spark.createDataFrame(rows + rows[:9], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in lm.score(docs, lm.F.lit(True)).collect()}
+    twice = {i for i, _ in rows[:9]}
+    assert max(s for i, s in got.items() if i not in twice) < min(got[i] for i in twice)
 
 
 def test_log_bloom_never_tells_less():
     r = np.random.default_rng(1)
     keys = r.integers(0, 1 << 63, 6000).astype(np.uint64)
     levels = r.integers(1, 12, len(keys))
-    bloom = lm.LogBloom(lm.LogBloom.fill(keys, levels), 1)
+    bloom = lm.LogBloom.build(keys, levels)
     got = bloom.levels(keys)
     assert (got >= levels).all() and (got == levels).mean() > 0.95
-    small = lm.LogBloom(lm.LogBloom.fill(keys[:3000], np.ones(3000, np.int64)), 1)
+    small = lm.LogBloom.build(keys[:3000], np.ones(3000, np.int64))
     assert (small.levels(keys[3000:]) > 0).mean() < 0.01
+    assert lm.LogBloom.build(keys[:0], levels[:0]).levels(keys).max() == 0
     counts = np.array([1, 2, 3, 10, 1000, 10**9])
     assert (lm.count_of(lm.level_of(counts)) <= counts).all() and (lm.count_of(lm.level_of(counts)) >= counts / lm.BASE - 1).all()
 
 
+def test_values_come_back_from_their_bytes():
+    values = np.array([0, 1, 255, 256, (1 << 40) - 1], np.uint64)
+    assert lm._values(lm._planes(values, 5), 5).tolist() == values.tolist() and lm._values(b"", 4).tolist() == []
+
+
 def test_tokens_as_hashes():
     some, which, ends, last = lm.Tokens().of(pa.array(["A b", "", "  ", "a"]))
     word = some[which]
