@@ -24,7 +24,8 @@ _KIND = {k: i for i, k in enumerate(BASE + WEAK)}
 
 _WEAK_ID = re.compile(r"""\b(?ai:access_?key_?id|client_?id|account_?id|user_?name|user|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}""")
 _WEAK_SECRET = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-_ENDPOINT = re.compile(r"""(?:https?|ftp|jdbc:[a-z]+|[a-z]+db|amqp|redis|ssh)://[^\s"'<>]+|\b(?ai:host|endpoint|server|bucket|region)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._:/-]{3,}""")
+# a run of letters is tried from its first one alone, so a text of letters is read once
+_ENDPOINT = re.compile(r"""(?:https?|ftp|jdbc:[a-z]{1,30}|(?<![a-z])[a-z]{1,30}db|amqp|redis|ssh)://[^\s"'<>]+|\b(?ai:host|endpoint|server|bucket|region)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._:/-]{3,}""")
 _BLANK = re.compile(r"\n[\x20\t\r]*\n")
 Span = tuple[str, int, int]
 
@@ -46,28 +47,40 @@ def _random_looking(s: str) -> bool:
 
 
 class _Intervals:
-    """Disjoint or nested spans, sorted; tells whether one lies within a stretch."""
+    """Spans sorted by their starts; tells which lie within a stretch."""
 
     def __init__(self, spans: list[tuple[int, int]]):
-        self.starts = sorted(a for a, _ in spans)
+        self.spans = sorted(spans)
+        self.starts = [a for a, _ in self.spans]
 
     def within(self, low: int, high: int) -> bool:
         i = bisect_left(self.starts, low)
         return i < len(self.starts) and self.starts[i] < high
 
+    def nearest(self, at: int, low: int, high: int) -> int | None:
+        """The start nearest to a place among those of a stretch, the earlier of two; None if there is none."""
+        i = bisect_left(self.starts, at)
+        near = [self.starts[j] for j in (i - 1, i) if 0 <= j < len(self.starts) and low <= self.starts[j] < high]
+        return min(near, key=lambda x: (abs(x - at), x), default=None)
 
-def linked_spans(text: str, base: list[Span], reach: int | None = 200) -> list[Span]:
-    """Weak candidates that complementary parts make credible.
 
-    A part's scope is its paragraph (up to blank lines), with ``reach`` at most so many code points to either side. Identifiers are
-    base access spans and weak ones; secrets are base assign and hex spans and weak ones. A weak identifier is reported
-    if a secret begins in its scope, a weak secret if an identifier does, an endpoint if both do. Each part asks the
-    sorted starts of the others, so no pairs are listed, however many parts a text holds.
+Link = tuple[int, int, int | None]
+
+
+def linked(text: str, base: list[Span], reach: int | None = None) -> tuple[list[Span], list[Link]]:
+    """Weak candidates that complementary parts make credible, and which parts belong together.
+
+    A part's scope is its paragraph (up to blank lines), with ``reach`` at most so many code points to either side.
+    Identifiers are base access spans and weak ones; secrets are base assign and hex spans and weak ones. This is a join
+    of intervals: a weak identifier is reported if a secret begins in its scope, a weak secret if an identifier does, an
+    endpoint if both do. A link (starts of an identifier, a secret, an endpoint or None) goes from each identifier to the
+    nearest secret of its scope, and from each secret to its nearest identifier; the endpoint is that nearest to the
+    identifier. Each part asks the sorted starts of the others, so no pairs are listed, however many parts a text holds.
     """
     ids = [(a, b) for k, a, b in base if k == "access"]
     weak_ids = [m.span() for m in _WEAK_ID.finditer(text)]
     if not ids and not weak_ids:
-        return []
+        return [], []
     taken = sorted((a, b) for _, a, b in base)
     first = [a for a, _ in taken]
     longest = 0
@@ -94,7 +107,17 @@ def linked_spans(text: str, base: list[Span], reach: int | None = 200) -> list[S
     all_ids, secrets = _Intervals(ids + weak_ids), _Intervals(strong + weak)
     out: list[Span] = [("weak_id", *s) for s in weak_ids if secrets.within(*scope(*s))]
     out += [("weak_secret", *s) for s in weak if all_ids.within(*scope(*s))]
-    return out + [("endpoint", *s) for s in ends_ if all_ids.within(*scope(*s)) and secrets.within(*scope(*s))]
+    kept_ends = [s for s in ends_ if all_ids.within(*scope(*s)) and secrets.within(*scope(*s))]
+    places = _Intervals(kept_ends)
+    pairs = {(a, secrets.nearest(a, *scope(a, b))) for a, b in all_ids.spans} | {(all_ids.nearest(a, *scope(a, b)), a) for a, b in secrets.spans}
+    widest = {a: scope(a, b) for a, b in all_ids.spans}
+    links = [(i, s, places.nearest(i, *widest[i])) for i, s in pairs if i is not None and s is not None]
+    return out + [("endpoint", *s) for s in kept_ends], sorted(links, key=lambda x: x[:2])
+
+
+def linked_spans(text: str, base: list[Span], reach: int | None = None) -> list[Span]:
+    """The spans of ``linked`` alone."""
+    return linked(text, base, reach)[0]
 
 
 def _joined(spans: list[Span]) -> str:
@@ -112,7 +135,8 @@ def redacted(text: str, spans: list[Span], mark: str = "[REDACTED]") -> str:
 
 
 def scan(docs: DataFrame, reach: int | None = None) -> DataFrame:
-    """A row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans.
+    """A row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, links (identifier>secret or
+    identifier>secret>endpoint, by the places where the parts begin, comma-joined).
 
     A null text counts as empty. Rows are judged one by one, so null ids, repeated rows and ties need no care, and an
     empty table gives an empty one; a text of any length is scanned whole. Parts are linked over their whole paragraph.
@@ -124,12 +148,14 @@ def scan(docs: DataFrame, reach: int | None = None) -> DataFrame:
             for text in texts_of(batch).to_pylist():
                 base = base_spans(text)
                 n = Counter(k for k, _, _ in base)
-                rows.append((n["assign"], n["access"], n["hex"], hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(base + linked_spans(text, base, reach))))
-            cols = list(zip(*rows, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), *(pa.array(c, pa.string()) for c in cols[3:])], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
+                more, links = linked(text, base, reach)
+                joined = ",".join(">".join(str(x) for x in link if x is not None) for link in links)
+                rows.append((n["assign"], n["access"], n["hex"], hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(base + more), joined))
+            cols = list(zip(*rows, strict=True)) or [[]] * 6
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), *(pa.array(c, pa.string()) for c in cols[3:])], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "links"])
 
     batches(docs.sparkSession)
-    return id_and_text(docs).mapInArrow(scanned, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return id_and_text(docs).mapInArrow(scanned, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, links string")
 
 
 def redact(docs: DataFrame, reach: int | None = None) -> DataFrame:

@@ -18,7 +18,8 @@ from starprism.llm.sampling import stratified
 
 WINDOW, STRIDE = 24, 12  # words; windows overlap by half
 WORD_BUCKETS, GRAM_BUCKETS = 1 << 18, 1 << 17
-WORD_DIM, GRAM_DIM, HIDDEN = 6, 10, 8
+WORD_DIM, GRAM_DIM, HIDDEN = 8, 8, 10
+LEAST_DOCS = 5  # vectors of words and runs in fewer training documents stay 0, as those of unknown ones
 _EDGES = "".join(map(chr, [*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)])) + "«»“”„’‘–—…¿¡"
 
 
@@ -61,12 +62,13 @@ def windows(ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class WindowNet:
-    """Per word the word's vector, the mean of its character runs' vectors and the largest of their first coordinates; over a window's words a bidirectional
-    network, attention pooling and one logit. A document's logit is its windows' largest."""
+    """Per word the word's vector and the mean of its character runs' vectors; over a window's words a bidirectional
+    network, attention pooling and one logit. A document's logit is its windows' largest. Everything is learned from
+    random beginnings by back-propagation; no statistic of the labels is an input."""
 
     def __init__(self, seed: int = 3):
         rng = np.random.default_rng(seed)
-        d, h = WORD_DIM + GRAM_DIM + 1, HIDDEN
+        d, h = WORD_DIM + GRAM_DIM, HIDDEN
         self.word = np.zeros((WORD_BUCKETS, WORD_DIM), np.float32)  # words and runs never met, or too rare, stay at 0
         self.gram = np.zeros((GRAM_BUCKETS, GRAM_DIM), np.float32)
         self.p = {
@@ -82,12 +84,11 @@ class WindowNet:
     def _inputs(self, words: list[str]) -> np.ndarray:
         grams, count = gram_buckets(words)
         at = np.cumsum(count) - count
-        mean, most = np.zeros((len(words), GRAM_DIM), np.float32), np.zeros((len(words), 1), np.float32)
+        mean = np.zeros((len(words), GRAM_DIM), np.float32)
         some = count > 0
         if some.any():
             mean[some] = np.add.reduceat(self.gram[grams], at[some], axis=0) / count[some, None]
-            most[some, 0] = np.maximum.reduceat(self.gram[grams, 0], at[some])
-        return np.hstack([self.word[word_buckets(words)], mean, most])
+        return np.hstack([self.word[word_buckets(words)], mean])
 
     def logits(self, x: np.ndarray, mask: np.ndarray, keep: dict | None = None) -> np.ndarray:
         """One logit a window. x: (T, 6h, n); mask: (T, 1, n)."""
@@ -128,24 +129,26 @@ class WindowNet:
         return out
 
 
-def _evidence(parts: Iterable[tuple[np.ndarray, np.ndarray]], n_buckets: int, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """How much more often toxic documents hold a bucket than others, as log odds, or 0 where by the likelihood ratio
-    chance explains it; and which buckets are in enough documents to be trained. ``parts``: (documents, buckets) of
-    some documents each, so that not all are held at once."""
-    toxic, other = np.zeros(n_buckets, np.int64), np.zeros(n_buckets, np.int64)
+def _in_documents(parts: Iterable[tuple[np.ndarray, np.ndarray]], n_buckets: int) -> np.ndarray:
+    """In how many documents each bucket is. ``parts``: (documents, buckets) of some documents each."""
+    out = np.zeros(n_buckets, np.int64)
     for docs_of, buckets in parts:
-        pairs = np.unique(docs_of * n_buckets + buckets)
-        of, b = pairs // n_buckets, pairs % n_buckets
-        toxic += np.bincount(b[label[of] == 1], minlength=n_buckets)
-        other += np.bincount(b[label[of] == 0], minlength=n_buckets)
-    share = (label == 1).mean()
-    both = np.maximum(toxic + other, 1)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        ratio = np.where(toxic > 0, toxic * np.log(toxic / (both * share)), 0) + np.where(other > 0, other * np.log(other / (both * (1 - share))), 0)
-    sure = np.clip((np.sqrt(2 * np.maximum(ratio, 0)) - 4.5) / 1.5, 0, 1)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        odds = np.log((toxic + share) / (other + 1 - share) * (1 - share) / share)
-    return (sure * np.clip(np.nan_to_num(odds), -3, 3)).astype(np.float32), toxic + other >= 8
+        out += np.bincount(np.unique(docs_of * n_buckets + buckets) % n_buckets, minlength=n_buckets)
+    return out
+
+
+class RowAdagrad:
+    """Steps for the few rows of a large table that a batch meets."""
+
+    def __init__(self, table: np.ndarray, rate: float):
+        self.table, self.rate, self.sum = table, rate, np.full(len(table), 1e-8, np.float32)
+
+    def step(self, at: np.ndarray, grads: np.ndarray) -> None:
+        order = np.argsort(at, kind="stable")
+        heads = np.flatnonzero(np.diff(at[order], prepend=-1))
+        rows, g = at[order][heads], np.add.reduceat(grads[order], heads, axis=0)
+        self.sum[rows] += (g * g).mean(axis=1)
+        self.table[rows] -= self.rate * g / np.sqrt(self.sum[rows])[:, None]
 
 
 def _not_copies(texts: list[str], run: int = 4, least: int = 8) -> list[int]:
@@ -162,11 +165,11 @@ def _not_copies(texts: list[str], run: int = 4, least: int = 8) -> list[int]:
     return kept
 
 
-def train(texts: list[str], label: np.ndarray, epochs: int = 6, rate: float = 0.05, seed: int = 2) -> WindowNet:
-    """Learns from whole documents' labels, one of each group of copies: each epoch, every document's window with the
-    largest logit (and for documents that are not toxic one more, at random) is trained by back-propagation through
-    time. The first coordinates of the word and character vectors begin as evidence from the same documents; all vectors
-    but those of rare buckets are trained on."""
+def train(texts: list[str], label: np.ndarray, warm: int = 6, epochs: int = 6, seed: int = 2) -> WindowNet:
+    """Learns from whole documents' labels, one of each group of copies. First, windows are drawn at random and take their
+    document's label (``warm`` times); then each document is learned by its window with the largest logit, and those
+    that are not toxic by one more at random (``epochs`` times). Word and character vectors, the recurrent network and
+    the attention are trained together by back-propagation through time, from random beginnings."""
     net, rng = WindowNet(), np.random.default_rng(seed)
     kept = _not_copies(texts)
     texts, label = [texts[i] for i in kept], label[kept]
@@ -175,6 +178,8 @@ def train(texts: list[str], label: np.ndarray, epochs: int = 6, rate: float = 0.
     words = _clean(coded.dictionary.to_pylist())
     numbers = coded.indices.to_numpy().astype(np.int64)
     wb = word_buckets(words)
+    all_grams, gram_count = gram_buckets(words)
+    gram_at = np.cumsum(gram_count) - gram_count
 
     def parts(character: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for a in range(0, len(texts), 100):
@@ -184,48 +189,52 @@ def train(texts: list[str], label: np.ndarray, epochs: int = 6, rate: float = 0.
                 yield of, wb[own]
                 continue
             pairs = np.unique(of * len(words) + own)  # each word of a document once
-            of, (some, own) = pairs // len(words), np.unique(pairs % len(words), return_inverse=True)
-            grams, count = gram_buckets([words[i] for i in some])
-            yield np.repeat(of, count[own]), grams[spread((np.cumsum(count) - count)[own], count[own])]
+            of, own = pairs // len(words), pairs % len(words)
+            yield np.repeat(of, gram_count[own]), all_grams[spread(gram_at[own], gram_count[own])]
 
-    word_odds, word_known = _evidence(parts(False), WORD_BUCKETS, label)
-    gram_odds, gram_known = _evidence(parts(True), GRAM_BUCKETS, label)
-    net.word[:, 0], net.gram[:, 0] = word_odds, gram_odds
+    word_known, gram_known = _in_documents(parts(False), WORD_BUCKETS) >= LEAST_DOCS, _in_documents(parts(True), GRAM_BUCKETS) >= LEAST_DOCS
+    for table, known in ((net.word, word_known), (net.gram, gram_known)):
+        table[known] = 0.1 * rng.standard_normal((int(known.sum()), table.shape[1]))
     start, size, of = windows(ends)
-    hint = net.inputs(words)
-    hint = (hint[:, 0] + hint[:, -1])[numbers]
-    total = np.concatenate([[0], np.cumsum(np.maximum(hint, 0))])
-    logit = (total[start + size] - total[start]).astype(np.float32)
-    adam, steps = Adam(net.p, 0.02), np.arange(WINDOW)
-    for epoch in range(epochs):
-        if epoch:
+    first, n_win = np.searchsorted(of, np.arange(len(texts))), np.bincount(of, minlength=len(texts))
+    adam, steps = Adam(net.p, 0.01), np.arange(WINDOW)
+    word_steps, gram_steps = RowAdagrad(net.word, 0.1), RowAdagrad(net.gram, 0.05)
+    drawn = lambda docs: first[docs] + (rng.random(len(docs)) * n_win[docs]).astype(np.int64)
+    toxic, other = np.flatnonzero(label == 1), np.flatnonzero(label != 1)
+    for epoch in range(warm + epochs):
+        if epoch < warm:
+            chosen = np.concatenate([drawn(np.repeat(toxic, 8)), drawn(np.repeat(other, 2))])
+        else:
             logit = net.scores(net.projected(words), start, size, numbers)
-        best = np.lexsort((logit, of))[np.append(np.flatnonzero(np.diff(of)), len(of) - 1)]
-        firsts = np.searchsorted(of, np.arange(len(texts)))
-        n_win = np.bincount(of, minlength=len(texts))
-        extra = (firsts + (rng.random(len(texts)) * n_win).astype(np.int64))[label == 0]
-        chosen = rng.permutation(np.concatenate([best, extra]))
-        for a in range(0, len(chosen), 128):
-            w = chosen[a : a + 128]
+            best = np.lexsort((logit, of))[np.append(np.flatnonzero(np.diff(of)), len(of) - 1)]
+            chosen = np.concatenate([best, drawn(other)])
+        chosen = rng.permutation(chosen)
+        for a in range(0, len(chosen), 64):
+            w = chosen[a : a + 64]
             live = (steps[:, None] < size[w]).astype(np.float32)[:, None, :]
             which = numbers[np.minimum(start[w] + steps[:, None], len(numbers) - 1)]
             used, back = np.unique(which, return_inverse=True)
-            own = [words[i] for i in used]
-            x_in = net.inputs(own)
+            own_grams, own_count = all_grams[spread(gram_at[used], gram_count[used])], gram_count[used]
+            x_in = np.hstack([net.word[wb[used]], np.zeros((len(used), GRAM_DIM), np.float32)])
+            some = own_count > 0
+            if some.any():
+                x_in[some, WORD_DIM:] = np.add.reduceat(net.gram[own_grams], (np.cumsum(own_count) - own_count)[some], axis=0) / own_count[some, None]
             x = (x_in @ net.p["in"] + net.p["b"])[back.reshape(which.shape)].transpose(0, 2, 1)
             keep: dict = {}
-            y = label[of[w]]
-            d = ((sigmoid(net.logits(x, live, keep)) - y) / len(w)).astype(np.float32)
+            d = ((sigmoid(net.logits(x, live, keep)) - label[of[w]]) / len(w)).astype(np.float32)
             g, dx = net.grads(x, live, d, keep)
-            d_rows = np.zeros((len(used), dx.shape[1]), np.float32)
-            np.add.at(d_rows, back.reshape(-1), dx.transpose(0, 2, 1).reshape(-1, dx.shape[1]))
+            flat_back = back.reshape(-1)
+            order = np.argsort(flat_back, kind="stable")
+            heads = np.flatnonzero(np.diff(flat_back[order], prepend=-1))
+            d_rows = np.add.reduceat(dx.transpose(0, 2, 1).reshape(-1, dx.shape[1])[order], heads, axis=0)
             g["in"], g["b"] = x_in.T @ d_rows, d_rows.sum(axis=0, keepdims=True)
             d_in = d_rows @ net.p["in"].T
             adam.step(g)
-            own_grams, own_count = gram_buckets(own)
-            own_words = word_buckets(own)
-            np.add.at(net.word, own_words, -rate * d_in[:, :WORD_DIM] * word_known[own_words, None])
-            np.add.at(net.gram, own_grams, -rate * np.repeat(d_in[:, WORD_DIM:-1] / np.maximum(own_count, 1)[:, None], own_count, axis=0) * gram_known[own_grams, None])
+            learn = word_known[wb[used]]
+            word_steps.step(wb[used][learn], d_in[learn, :WORD_DIM])
+            each = np.repeat(d_in[:, WORD_DIM:] / np.maximum(own_count, 1)[:, None], own_count, axis=0)
+            learn = gram_known[own_grams]
+            gram_steps.step(own_grams[learn], each[learn])
     return net
 
 
