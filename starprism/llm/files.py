@@ -1,9 +1,10 @@
-"""Writing whole files from executors to the shared folder."""
+"""Writing whole files from executors to the shared folder, and reading files in pieces."""
 
 from __future__ import annotations
 
 import os
 import uuid
+from typing import BinaryIO
 
 
 def write_file(uri: str, data: bytes) -> None:
@@ -26,3 +27,14 @@ def write_file(uri: str, data: bytes) -> None:
     with store.open_output_stream(part) as f:
         f.write(data)
     store.move(part, path)
+
+
+def open_file(uri: str) -> BinaryIO:
+    """A file for reading in pieces, of any length; file: paths are opened, others go through pyarrow's file systems."""
+    scheme, _, path = uri.rpartition(":") if "://" in uri or uri.startswith("file:") else ("file", "", uri)
+    if scheme == "file":
+        return open("/" + path.lstrip("/"), "rb")
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(uri)
+    return store.open_input_file(path)

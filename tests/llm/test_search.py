@@ -27,7 +27,8 @@ def test_archives(spark):
     assert warc.op2(pages.limit(0)).collect() == []
     folder = new_path(spark, "warc-test")
     warc.write_archives(pages, folder, least_bytes=5)
-    got, gaps = warc.read_archives(spark, folder, payloads=True)
+    got = warc.read_archives(spark, folder, payloads=True)
+    gaps = got.where("reason IS NOT NULL")
     assert {r.page_id: bytes(r.payload).decode() for r in got.collect() if r.page_id in (7, 4)} == {7: PAGES[4][2], 4: PAGES[9][2]}
     assert {r.record_type for r in got.where("page_id in (9, 2)").collect()} == {"response"} and gaps.count() == 0
 
@@ -45,7 +46,9 @@ def test_salvage_after_damage():
     got = warc.salvage(bytes(broken))
     assert ids(got) == every[:3] + every[4:] and [(a, b) for a, b, _ in got.gaps] == [(start, start + len(members[3]))]
     assert ids(warc.salvage(whole[5:])) == every[1:]
-    assert ids(warc.salvage(whole[:-9])) == every[:-1]
+    cut = warc.salvage(whole[:-9])  # the last record is whole, its member's checksum isn't
+    assert ids(cut) == every and [(a, b) for a, b, _ in cut.gaps] == [(len(whole) - len(members[7]), len(whole) - 9)]
+    assert ids(warc.salvage(whole[:-30])) == every[:-1]
     noise = b"\x1f\x8b\x08garbage" + whole[:start] + b"\x00" * 100 + whole[start:]
     assert ids(warc.salvage(noise)) == every and sum(b - a for a, b, _ in warc.salvage(noise).gaps) == 110
     plain = b"".join(records)
@@ -59,6 +62,43 @@ def test_salvage_after_damage():
     assert ids(warc.salvage(one)) == every and len(warc.salvage(one).gaps) == 1
 
 
+def test_damage_in_one_member_and_in_mixed_archives():
+    records = [warc.record(i, "u", random.Random(i).randbytes(3000)) for i in range(8)]
+    ids = lambda s: [h["warc-record-id"] for h, _ in s.records]
+    every = [f"<urn:x-page:{i}>" for i in range(8)]
+    one = gzip.compress(b"".join(records))
+    cut = warc.salvage(one[: len(one) // 2])  # the records before the cut are read and checked
+    assert ids(cut) == every[: len(cut.records)] and 2 <= len(cut.records) <= 4 and cut.gaps[-1][1] == len(one) // 2
+    after = warc.salvage(one[: len(one) // 2] + records[6] + gzip.compress(records[7]))  # a plain record after damage
+    assert ids(after) == [*ids(cut), every[6], every[7]] and after.gaps[-1][1] == len(one) // 2
+
+
+def test_reading_takes_time_in_proportion():
+    import time
+
+    def seconds(n):
+        data = b"".join(gzip.compress(warc.record(i, "u", random.Random(i).randbytes(8000)), 1) for i in range(n))
+        began = time.process_time()
+        got = warc.salvage(data)
+        assert len(got.records) == n and not got.gaps
+        return time.process_time() - began
+
+    short, long = seconds(500), seconds(4000)
+    assert long < 8 * 3 * max(short, 0.02)
+
+
+def test_gaps_come_with_the_records(spark):
+    from starprism.llm.files import write_file
+
+    folder = new_path(spark, "warc-gaps")
+    members = [gzip.compress(warc.record(i, "u", b"page" * 100)) for i in range(4)]
+    write_file(f"{folder}/a.warc.gz", members[0] + b"\0" * 50 + members[1])
+    write_file(f"{folder}/b.warc.gz", b"".join(members[2:]))
+    rows = warc.read_archives(spark, folder).collect()
+    assert sorted(r.page_id for r in rows if r.reason is None) == [0, 1, 2, 3]
+    assert [(r.name, r.gap_start, r.gap_end) for r in rows if r.reason] == [("a.warc.gz", len(members[0]), len(members[0]) + 50)]
+
+
 def hits_by_force(text, items):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     own, hit, ids = words(text), set(), set()
