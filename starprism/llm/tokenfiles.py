@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from starprism.llm.common import batches, id_and_text, materialize, new_path, texts_of
-from starprism.llm.files import write_file
+from starprism.llm.files import open_file, write_file
 from starprism.llm.tokens import encoder, tokenizer_path
 from starprism.llm.wavelet import WaveletMatrix
 
@@ -32,14 +32,24 @@ def shard_documents(shard: WaveletMatrix) -> tuple[list, np.ndarray]:
     return [int(i) if k else None for i, k in zip(ids, known, strict=True)], np.frombuffer(shard.extra, "<i8", n, 8 + 9 * n)
 
 
-def write_token_files(docs: DataFrame, folder: str, path: str, shard_ids: int = 2_000_000, task_bytes: int = 12 << 20) -> DataFrame:
+def check_ends(shard: WaveletMatrix, lengths: np.ndarray) -> None:
+    """Raises unless the matrix holds as many ids as the documents, and the end id at each document's last place, and no
+    fewer end ids than documents, by access and rank."""
+    ends = np.cumsum(lengths)
+    if (int(ends[-1]) if len(ends) else 0) != shard.n or (shard.access_many(ends - 1) != END_ID).any() or shard.count(END_ID) < len(ends):
+        raise ValueError("the shard's documents don't end where they should")
+
+
+def write_token_files(docs: DataFrame, folder: str, path: str, shard_ids: int = 2_000_000, task_bytes: int | None = None) -> DataFrame:
     """Writes shards in ascending doc_id order; returns a row per shard: part, shard, name, n_docs, n_tokens.
 
     Documents are dealt by ranges of doc_id (and of the text's hash, so that repeated ids can be split) to tasks of
-    about ``task_bytes`` of text; a shard is closed after the document that brings it to ``shard_ids`` ids.
+    about ``task_bytes`` of text (12 MB to 1 GB, so that even very large inputs make some ten thousand tasks); a task
+    holds one shard at a time, which is closed after the document that brings it to ``shard_ids`` ids.
     """
     docs = id_and_text(docs).withColumn("h", F.xxhash64("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    task_bytes = task_bytes or min(1 << 30, max(12 << 20, size // 20_000))
 
     def shards(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part, shard = encoder(path, spaces=True), TaskContext.get().partitionId(), 0
@@ -48,7 +58,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str, shard_ids: int =
         def close() -> pa.RecordBatch:
             name = f"part-{part:06d}-{shard:05d}.wvm"
             every = np.concatenate(tokens)
-            write_file(f"{folder}/{name}", WaveletMatrix.build(every, _extra(ids, np.array(lengths))).to_bytes())
+            write_file(f"{folder}/{name}", WaveletMatrix.build(every, _extra(ids, np.array(lengths))))
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "shard": pa.array([shard], pa.int64()), "name": [name], "n_docs": pa.array([len(ids)], pa.int64()), "n_tokens": pa.array([len(every)], pa.int64())})
 
         for batch in found:
@@ -90,18 +100,20 @@ def read_token_files(spark: SparkSession, folder: str, starts: DataFrame | None
 
     def documents(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
-            for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                shard = WaveletMatrix.from_bytes(data.as_buffer().to_pybytes())
+            for path in batch.column(0).to_pylist():
+                with open_file(path) as f:
+                    name, data = path.rpartition("/")[2], f.read()
+                shard = WaveletMatrix(data)
                 ids, lengths = shard_documents(shard)
+                check_ends(shard, lengths)
                 view = memoryview(shard.decode().astype("<u4")).cast("B")
                 ends = np.cumsum(lengths)
                 crc = [zlib.crc32(view[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(ids), pa.string()), pa.array(ids, pa.int64()), pa.array(ends - lengths, pa.int64()), pa.array(lengths, pa.int64()), pa.array(crc, pa.int64())], ["name", "doc_id", "inside", "n_tokens", "ids_crc32"])
 
     batches(spark)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wvm").load(folder)
-    read = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content").mapInArrow(documents, "name string, doc_id long, inside long, n_tokens long, ids_crc32 long")
-    batches(spark)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wvm").load(folder).select("path", "length")  # executors read one file at a time
+    read = files.select("path").repartition(max(1, spark.sparkContext.defaultParallelism), "path").mapInArrow(documents, "name string, doc_id long, inside long, n_tokens long, ids_crc32 long")
     if starts is None:
         return read
     return read.join(starts, "name").select("doc_id", (F.col("start") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")

@@ -106,7 +106,7 @@ def test_packing_in_rounds(spark):
 def test_wavelet_matrix():
     r = np.random.default_rng(1)
     for ids in (r.integers(0, 50_000, 3001), r.zipf(1.5, 2000) % 300, np.array([], np.int64), np.array([7]), np.array([70_000, 3])):
-        m = WaveletMatrix.from_bytes(WaveletMatrix.build(np.asarray(ids, np.uint32), b"more").to_bytes())
+        m = WaveletMatrix(WaveletMatrix.build(np.asarray(ids, np.uint32), b"more"))
         assert m.extra == b"more" and m.decode().tolist() == list(ids)
         for i in r.integers(0, max(1, len(ids)), 20) if len(ids) else []:
             assert m.access(i) == ids[i]
@@ -116,11 +116,29 @@ def test_wavelet_matrix():
             assert m.select(t, len(where) - 1) == where[-1] and m.occurrences(t)[:3] == where[:3].tolist()
     assert m.count(1 << 30) == 0
     with pytest.raises(ValueError, match="whole"):
-        WaveletMatrix.from_bytes(WaveletMatrix.build(np.array([1, 2, 3], np.uint32)).to_bytes()[:-1] + b"?")
+        WaveletMatrix(WaveletMatrix.build(np.array([1, 2, 3], np.uint32))[:-1] + b"?")
     with pytest.raises(IndexError):
         m.access(2)
 
 
+def test_wavelet_files_are_compressed_and_read_by_blocks():
+    r = np.random.default_rng(2)
+    ids = (r.zipf(1.3, 300_000) % 20_000).astype(np.uint32)
+    data = WaveletMatrix.build(ids)
+    assert len(data) < 2 * len(ids)  # less than two bytes an id
+    m = WaveletMatrix(data)
+    at = r.integers(0, len(ids), 500)
+    assert (m.access_many(at) == ids[at]).all() and (m.decode() == ids).all()
+    t = int(ids[5])
+    where = np.flatnonzero(ids == t)
+    for k in (0, len(where) // 2, len(where) - 1):
+        assert m.select(t, k) == where[k]
+    assert m.count(t, 1000, 200_000) == ((where >= 1000) & (where < 200_000)).sum()
+    broken = WaveletMatrix(WaveletMatrix.build(np.array([5, 0, 7, 3], np.uint32)))
+    with pytest.raises(ValueError, match="end"):
+        tokenfiles.check_ends(broken, np.array([2, 2]))
+
+
 def test_token_files(spark, docs, empty):
     rows = tokenfiles.op10(docs).collect()
     order = sorted(range(len(CASES)), key=lambda i: (CASES[i][0] is not None, CASES[i][0] or 0))
