@@ -2,34 +2,39 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from starprism.llm.common import batches, materialize
+from starprism.llm.common import batches, materialize, new_path
+from starprism.llm.files import open_file, write_file
 
 SCALE, EVERY, K = 64, 20, 20
-_EXACT = 1 << 53
+_NARROW, _EXACT = 1 << 24, 1 << 53
 
 
 class SortedLists:
     """A block of vectors with, for each dimension, the list of its rows by value. Lists are read from whichever end the
-    query's sign asks for."""
+    query's sign asks for. ``order``, (n, d): row numbers by falling value."""
 
-    def __init__(self, ids: np.ndarray, rows: np.ndarray):
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, order: np.ndarray | None = None):
         self.ids, self.rows = ids, rows
         self.high, self.low = rows.max(axis=0), rows.min(axis=0)
-        self._order: np.ndarray | None = None
+        self.order = np.argsort(-rows, axis=0, kind="stable") if order is None else order
 
-    @property
-    def order(self) -> np.ndarray:
-        """(n, d): row numbers by falling value, sorted when first asked for."""
-        if self._order is None:
-            self._order = np.argsort(-self.rows, axis=0, kind="stable")
-        return self._order
+    def to_bytes(self, cells: np.ndarray) -> bytes:
+        """A block's file: numbers of rows and dimensions, ids, the vectors as they came, and the lists."""
+        return np.array(cells.shape, "<i8").tobytes() + self.ids.astype("<i8").tobytes() + cells.astype("<f8").tobytes() + self.order.astype("<u4").tobytes()
+
+    @classmethod
+    def from_bytes(cls, data: bytes, numbers: Callable[[np.ndarray], np.ndarray]) -> SortedLists:
+        n, d = (int(x) for x in np.frombuffer(data, "<i8", 2))
+        at = 16 + 8 * n
+        return cls(np.frombuffer(data, "<i8", n, 16), numbers(np.frombuffer(data, "<f8", n * d, at).reshape(n, d)), np.frombuffer(data, "<u4", n * d, at + 8 * n * d).reshape(n, d))
 
     def bound(self, queries: np.ndarray) -> np.ndarray:
         """The threshold before any list is read: no row of the block can score more."""
@@ -44,47 +49,47 @@ class SortedLists:
 class Search:
     """The best ``k`` of a batch of queries over blocks that come one after another."""
 
-    def __init__(self, queries: np.ndarray, own: np.ndarray, k: int):
-        self.queries, self.own, self.k = queries, own, k
+    def __init__(self, queries: np.ndarray, own: np.ndarray, k: int, floor: np.ndarray | None = None):
+        """``floor``: k-th scores that are known from elsewhere; what is below them is of no use."""
+        self.queries, self.own, self.k, self.scored = queries, own, k, 0
         self.up, self.down = np.maximum(queries, 0), np.minimum(queries, 0)
-        self.kth = np.full(len(queries), -np.inf, queries.dtype)
+        self.kth = np.full(len(queries), -np.inf, queries.dtype) if floor is None else floor.astype(queries.dtype)
         self.top = (np.empty(0, np.int64), np.empty(0, queries.dtype), np.empty(0, np.int64))  # query, score, id
 
-    def over(self, lists: list[SortedLists]) -> None:
-        """Threshold algorithm. Blocks are taken by their greatest threshold; a query skips a block that cannot beat its
-        k-th score. Within a block the lists of all dimensions are read in step, from both ends, since queries have
-        either sign; each row met is scored in full for the queries still at work. A query stops when the sum over
-        dimensions of its value times the value last read is below its k-th score: no row that wasn't met can score
-        more, and one that scores the same would need a sum that is equal."""
-        if not lists:
-            return
-        bounds = np.stack([x.bound(self.queries) for x in lists], axis=1)
-        for b in np.argsort(-bounds.max(axis=0), kind="stable"):
-            block, n = lists[b], len(lists[b].ids)
-            live = np.flatnonzero(bounds[:, b] >= self.kth)
-            seen, depth = np.zeros(n, bool), 0
-            while len(live) and depth < n:
-                to = min(n, max(16, 4 * depth))
-                fresh = np.zeros(n, bool)
-                fresh[block.order[depth:to].ravel()] = True
-                fresh[block.order[n - to : n - depth].ravel()] = True
-                fresh &= ~seen
-                seen |= fresh
-                self._score(block, np.flatnonzero(fresh), live)
-                depth = to
-                if seen.all():
-                    break
-                high, low = block.ends(depth)
-                live = live[self.up[live] @ high + self.down[live] @ low >= self.kth[live]]
+    def over(self, block: SortedLists) -> None:
+        """Threshold algorithm in one block. The lists of all dimensions are read in step, from both ends, since queries
+        have either sign, a few places at first and twice as many each time; each row met is scored in full for the
+        queries still at work. A query stops when the sum over dimensions of its value times the value last read is
+        below its k-th score: no row that wasn't met can score more, and one that scores the same would need a sum that
+        is equal."""
+        n = len(block.ids)
+        live = np.flatnonzero(block.bound(self.queries) >= self.kth)
+        seen, depth = np.zeros(n, bool), 0
+        while len(live) and depth < n:
+            to = min(n, max(2, 2 * depth))
+            fresh = np.zeros(n, bool)
+            fresh[block.order[depth:to].ravel()] = True
+            fresh[block.order[n - to : n - depth].ravel()] = True
+            fresh &= ~seen
+            seen |= fresh
+            self._score(block, np.flatnonzero(fresh), live)
+            depth = to
+            if seen.all():
+                break
+            high, low = block.ends(depth)
+            live = live[self.up[live] @ high + self.down[live] @ low >= self.kth[live]]
 
     def _score(self, block: SortedLists, rows: np.ndarray, live: np.ndarray) -> None:
         if not len(rows):
             return
         scores = self.queries[live] @ block.rows[rows].T
+        self.scored += scores.size
         least = self.kth[live]
-        if len(rows) > self.k + 1 and scores.dtype != object:  # own row aside, its k-th score can't be missed
-            least = np.maximum(least, np.partition(scores, len(rows) - self.k - 1, axis=1)[:, len(rows) - self.k - 1])
-        q, r = np.nonzero((scores >= least[:, None]) & (block.ids[rows][None, :] != self.own[live][:, None]))
+        mine = block.ids[rows][None, :] == self.own[live][:, None]
+        if len(rows) > self.k and scores.dtype != object:
+            scores[mine] = -np.inf
+            least = np.maximum(least, np.partition(scores, len(rows) - self.k, axis=1)[:, len(rows) - self.k])
+        q, r = np.nonzero((scores >= least[:, None]) & ~mine)
         if not len(q):
             return
         query, score, ids = (np.concatenate(x) for x in zip(self.top, (live[q], scores[q, r], block.ids[rows][r]), strict=True))
@@ -95,102 +100,188 @@ class Search:
         keep = rank < self.k
         self.top = query[keep], score[keep], ids[keep]
         last = rank == self.k - 1
-        self.kth[query[last]] = score[last]
+        self.kth[query[last]] = np.maximum(self.kth[query[last]], score[last])
 
 
-def _numbers(cells: np.ndarray) -> np.ndarray:
-    """Whole numbers as floats where every sum stays exact in them, else as Python integers."""
-    floats = np.floor(cells * SCALE)
-    most = float(np.abs(floats).max()) if floats.size else 0.0
-    return floats if most * most * max(1, floats.shape[1]) < _EXACT else np.vectorize(int, otypes=[object])(floats)
+def _numbers(cells: np.ndarray, most: float | None = None) -> np.ndarray:
+    """Whole numbers in the narrowest form where every sum of products stays exact, by the largest magnitude ``most`` of
+    all vectors: floats of either width, else Python integers."""
+    whole = np.floor(cells * SCALE)
+    most = (float(np.abs(whole).max()) if whole.size else 0.0) if most is None else most
+    room = most * most * max(1, whole.shape[1])
+    return whole.astype(np.float32) if room < _NARROW else whole if room < _EXACT else np.vectorize(int, otypes=[object])(whole)
 
 
-def _blocks(rows: int):
-    """Packs sorted rows (place, id, vector) into blocks of one length and, for vectors, one pivot."""
+def _block_writer(rows: int, folder: str):
+    """Packs sorted rows (place, id, vector) into block files of one vector length and, if it has enough rows, one pivot;
+    yields path, dims, n and the block's largest and smallest values."""
 
-    def packed(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def written(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
+        part, number = TaskContext.get().partitionId(), 0
 
         def close() -> pa.RecordBatch:
-            ids = np.array([h[1] for h in held], "<i8")
             cells = np.array([h[2] for h in held], "<f8")
-            return pa.RecordBatch.from_pydict({"dims": pa.array([cells.shape[1]], pa.int32()), "first": pa.array([int(ids[0])], pa.int64()), "ids": [ids.tobytes()], "cells": [cells.tobytes()]})
+            lists = SortedLists(np.array([h[1] for h in held], "<i8"), np.floor(cells * SCALE))
+            path = f"{folder}/block-{part:06d}-{number:06d}"
+            write_file(path, lists.to_bytes(cells))
+            return pa.RecordBatch.from_pydict({"path": [path], "dims": pa.array([cells.shape[1]], pa.int32()), "n": pa.array([len(cells)], pa.int64()), "high": [lists.high.tobytes()], "low": [lists.low.tobytes()]})
 
         for batch in found:
-            for group, i, cells in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and (held[0][0] != group or len(held) == rows):
+            for place, i, cells in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and (len(held[0][2]) != len(cells) or len(held) == rows or (held[0][0] != place and 4 * len(held) >= rows)):
                     yield close()
-                    held = []
-                held.append((group, i, cells))
+                    held, number = [], number + 1
+                held.append((place, i, cells))
         if held:
             yield close()
 
-    return packed
-
-
-def _unpack(row: dict) -> tuple[np.ndarray, np.ndarray]:
-    ids = np.frombuffer(row["ids"], "<i8")
-    return ids, np.frombuffer(row["cells"], "<f8").reshape(len(ids), row["dims"])
-
-
-def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, block: int = 1024, pivots: int = 64, together: int = 16) -> DataFrame:
+    return written
+
+
+class Groups:
+    """Blocks dealt to groups of about ``rows`` rows of one vector length, with the bound of each for a query."""
+
+    def __init__(self, blocks: list, rows: int):
+        self.members: list[list[int]] = []
+        self.paths = [b["path"] for b in blocks]
+        self.dims = np.array([b["dims"] for b in blocks], np.int64)
+        self.high, self.low = ([np.frombuffer(b[x], "<f8") for b in blocks] for x in ("high", "low"))
+        held = 0
+        for i, b in enumerate(blocks):
+            if not self.members or held >= rows or self.dims[self.members[-1][0]] != b["dims"]:
+                self.members.append([])
+                held = 0
+            self.members[-1].append(i)
+            held += b["n"]
+        self.group = np.repeat(np.arange(len(self.members)), [len(m) for m in self.members])
+        self.most = max([float(max(np.abs(h).max(), np.abs(w).max())) for h, w in zip(self.high, self.low, strict=True)], default=0.0)
+
+    def bounds(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The groups for queries of one length, and (queries, groups): no row of the group can score more."""
+        at = np.flatnonzero(self.dims == queries.shape[1])
+        if not len(at):
+            return np.zeros(0, np.int64), np.zeros((len(queries), 0))
+        high, low = np.stack([self.high[i] for i in at], axis=1), np.stack([self.low[i] for i in at], axis=1)
+        each = np.maximum(queries, 0) @ high + np.minimum(queries, 0) @ low
+        heads = np.flatnonzero(np.diff(self.group[at], prepend=-1))
+        return self.group[at][heads], np.maximum.reduceat(each, heads, axis=1)
+
+
+def _router(shared, first: bool):
+    """Sends each query (query_id, cells, floor) to its most promising group, or to all others that can beat its floor."""
+
+    def routed(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups = shared.value
+        for batch in found:
+            size = batch.column(1).value_lengths().to_numpy()
+            out: list[tuple[int, int]] = []
+            for d in np.unique(size):
+                at = np.flatnonzero(size == d)
+                queries = np.floor(np.array([batch.column(1)[int(i)].as_py() for i in at], float) * SCALE)
+                names, bounds = groups.bounds(queries)
+                if not len(names):
+                    continue
+                best = bounds.argmax(axis=1)
+                if first:
+                    out += zip(at.tolist(), names[best].tolist(), strict=True)
+                    continue
+                floor = np.array([-np.inf if batch.column(2)[int(i)].as_py() is None else batch.column(2)[int(i)].as_py() for i in at])
+                may = bounds * (1 + 1e-12) + 1e-6 >= floor[:, None]  # the bound's own rounding
+                may[np.arange(len(at)), best] = False
+                q, g = np.nonzero(may)
+                out += zip(at[q].tolist(), names[g].tolist(), strict=True)
+            rows = pa.array([q for q, _ in out], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(c.take(rows) for c in batch.columns), pa.array([g for _, g in out], pa.int64())], ["query_id", "cells", "floor", "g"])
+
+    return routed
+
+
+def _searcher(shared, k: int, together: int = 512):
+    def searched(group: pa.Table) -> pa.Table:
+        groups = shared.value
+        numbers = lambda cells: _numbers(cells, groups.most)
+        own = group.column("query_id").to_numpy()
+        asked = numbers(np.array(group.column("cells").to_pylist(), float))
+        floor = np.array([-np.inf if x is None else x for x in group.column("floor").to_pylist()], float)
+        if asked.dtype == object:  # sums beyond 53 bits: what the floor lost by rounding is given back
+            floor = (floor - np.abs(floor) * 1e-12).astype(object)
+        members = groups.members[group.column("g")[0].as_py()]
+        out = [pa.table({n: pa.array([], pa.int64()) for n in ("query_id", "vec_id", "score")})]
+        searches = [Search(asked[a : a + together], own[a : a + together], k, floor[a : a + together]) for a in range(0, len(own), together)]
+        bound = np.max([np.maximum(asked, 0) @ numbers_of(groups.high[i], asked) + np.minimum(asked, 0) @ numbers_of(groups.low[i], asked) for i in members], axis=1)
+        for i in np.argsort(-bound.astype(float), kind="stable"):  # the most promising first, whose scores spare the others
+            with open_file(groups.paths[members[i]]) as f:
+                block = SortedLists.from_bytes(f.read(), numbers)
+            for x in searches:
+                x.over(block)
+        for x in searches:
+            query, score, ids = x.top
+            out.append(pa.table({"query_id": pa.array(x.own[query], pa.int64()), "vec_id": pa.array(ids, pa.int64()), "score": pa.array([int(v) for v in score], pa.int64())}))
+        return pa.concat_tables(out)
+
+    return searched
+
+
+def numbers_of(values: np.ndarray, like: np.ndarray) -> np.ndarray:
+    """Whole values in the form of others."""
+    return np.array([int(v) for v in values], object) if like.dtype == object else values.astype(like.dtype)
+
+
+def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, block: int | None = None, group: int = 65_536, pivots: int = 64, batch: int = 1024) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose vec_id is divisible by ``every``, the ``k`` highest integer inner
     products with all other rows (all, if fewer); ties go to the smaller vec_id.
 
-    Vectors that are null or hold null, NaN or infinite components, empty ones and null ids take no part. Rows repeated
-    in full count once; an id with several vectors is one query, with the scores of all its vectors, and several
-    candidates, never its own. Vectors of different lengths have no product and aren't paired.
+    Vectors that are null or hold null, NaN or infinite components, empty ones and null ids take no part. Every row is a
+    candidate, repeated ones as often as they stand there; rows of a query's own id are never its candidates, and an id
+    with several vectors is one query with the scores of all its vectors. Vectors of different lengths have no product
+    and aren't paired. Other columns, whatever their names, play no part. An empty table gives an empty one.
 
-    Rows near one of a bounded number of ``pivots`` (the first by hash) share blocks of at most ``block`` rows. Blocks of
-    queries meet groups of ``together`` blocks; within such a task a query takes the blocks by falling threshold and
-    stops at the first whose threshold cannot beat its k-th score, and so does the search within a block.
+    All rows are sorted once: those near one of a bounded number of ``pivots`` (the first by hash) share blocks, each
+    written with its sorted lists. A query goes to the group of blocks with the highest bound first; its k-th score
+    there is the floor that decides which other groups it is sent to at all, and in a group which blocks and how much of
+    their lists are read. Only queries are shuffled, each group's tasks read its blocks from the shared folder. Of the
+    blocks the driver holds largest and smallest values alone; blocks grow with the table, so that there are a few thousand.
     """
     spark = vectors.sparkSession
+    batches(spark)
     cells = F.col("embedding").cast("array<double>")
     good = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where(~F.exists(cells, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))).where(F.size("embedding") > 0)
-    rows = materialize(good.select(F.col("vec_id").cast("long").alias("vec_id"), cells.alias("cells")).distinct(), "vectors")
-    chosen = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).collect()  # bounded by the parameter
-    by_dims: dict[int, np.ndarray] = {}
-    for r in chosen:
-        by_dims.setdefault(len(r["cells"]), []).append(r["cells"])  # type: ignore[arg-type]
-    by_dims = {d: np.array(x) for d, x in by_dims.items()}
+    rows = good.select(F.col("vec_id").cast("long").alias("vec_id"), cells.alias("cells"))
+    total, chosen = rows.count(), rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).collect()  # bounded by the parameter
+    lengths = {len(r["cells"]) for r in chosen}
+    near_to = {d: np.array([r["cells"] for r in chosen if len(r["cells"]) == d]) for d in lengths}
 
     def placed(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in found:
-            out = []
-            for x in batch.column(1).to_pylist():
-                near = by_dims.get(len(x))
-                out.append(len(x) * 1_000_000 + (int((near @ np.array(x)).argmax()) if near is not None else 0))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64()), *batch.columns], ["place", "vec_id", "cells"])
+        for x in found:
+            size, out = x.column(1).value_lengths().to_numpy(), np.zeros(x.num_rows, np.int64)
+            for d in np.unique(size):
+                at = np.flatnonzero(size == d)
+                own = np.array([x.column(1)[int(i)].as_py() for i in at], float)
+                out[at] = int(d) * 1_000_000 + ((own @ near_to[int(d)].T).argmax(axis=1) if int(d) in near_to else 0)
+            yield pa.RecordBatch.from_arrays([pa.array(out), *x.columns], ["place", "vec_id", "cells"])
+
+    block = block or min(65_536, max(1024, total // 4096))
+    folder = new_path(spark, "vector-blocks")
+    dealt = rows.mapInArrow(placed, "place long, vec_id long, cells array<double>").repartitionByRange(max(1, -(-total // (16 * block))), "place", "vec_id").sortWithinPartitions("place", "vec_id")
+    written = materialize(dealt.mapInArrow(_block_writer(block, folder), "path string, dims int, n long, high binary, low binary"), "blocks")
+    groups = Groups(written.orderBy("dims", "path").collect(), group)
+    shared = spark.sparkContext.broadcast(groups)
+    asked = rows.where(F.col("vec_id") % every == 0).distinct().select(F.col("vec_id").alias("query_id"), "cells")
+    parts = max(1, -(-total // (every * batch)))
+
+    def found_in(queries: DataFrame, first: bool) -> DataFrame:
+        sent = queries.mapInArrow(_router(shared, first), "query_id long, cells array<double>, floor double, g long")
+        dealt = sent.withColumn("p", F.pmod(F.xxhash64("query_id"), F.lit(parts)))
+        return materialize(dealt.groupBy("g", "p").applyInArrow(_searcher(shared, k), "query_id long, vec_id long, score long"), "found")
 
-    batches(spark)
-    total = rows.count()
-    layout = "dims int, first long, ids binary, cells binary"
-    near = rows.mapInArrow(placed, "place long, vec_id long, cells array<double>")
-    n_parts = max(1, -(-total // (together * block)))
-    stored = materialize(near.repartitionByRange(n_parts, "place", "vec_id").sortWithinPartitions("place", "vec_id").mapInArrow(_blocks(block), layout), "vector-blocks")
-    asked = rows.where(F.col("vec_id") % every == 0).select((F.size("cells") * 1_000_000).cast("long").alias("place"), "vec_id", "cells")
-    n_asked = max(1, -(-total // (every * block)))
-    queries = materialize(asked.repartitionByRange(n_asked, "place", "vec_id").sortWithinPartitions("place", "vec_id").mapInArrow(_blocks(block // 2), layout), "query-blocks")
-    n_groups, n_query_groups = max(1, -(-stored.count() // together)), max(1, queries.count())
-
-    def searched(left: pa.Table, right: pa.Table) -> pa.Table:
-        blocks = [(r["dims"], *_unpack(r)) for r in left.to_pylist()]
-        every = [pa.table({n: pa.array([], pa.int64()) for n in ("query_id", "vec_id", "score")})]
-        for q in right.to_pylist():
-            ids, asked_ = _unpack(q)
-            lists = [SortedLists(i, _numbers(c)) for d, i, c in blocks if d == q["dims"]]
-            found = Search(_numbers(asked_), ids, k)
-            found.over(lists)
-            query, score, met_ids = found.top
-            every.append(pa.table({"query_id": pa.array(ids[query], pa.int64()), "vec_id": pa.array(met_ids, pa.int64()), "score": pa.array([int(x) for x in score], pa.int64())}))
-        return pa.concat_tables(every)
-
-    left = stored.withColumn("g", F.pmod(F.xxhash64("dims", "first", "ids"), F.lit(n_groups))).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n_query_groups - 1))))
-    right = queries.withColumn("q", F.pmod(F.xxhash64("dims", "first", "ids"), F.lit(n_query_groups)).cast("int")).withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_groups - 1).cast("long"))))
-    met = left.groupBy("g", "q").cogroup(right.groupBy("g", "q")).applyInArrow(searched, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = lambda df: df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    found = found_in(asked.withColumn("floor", F.lit(None).cast("double")), True)
+    if len(groups.members) > 1:
+        floors = best(found).where(F.col("rank") == k).select("query_id", F.col("score").cast("double").alias("floor"))
+        found = found.union(found_in(asked.join(floors, "query_id", "left"), False))
+    return best(found).select("query_id", "rank", "vec_id", "score")
 
 
 ORACLE = """

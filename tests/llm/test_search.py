@@ -172,11 +172,11 @@ def test_proximity(spark):
 
 def top_by_force(rows, k=20, every=20):
     good = [(i, np.floor(np.array(x, float) * 64)) for i, x in rows if i is not None and x and all(v is not None and np.isfinite(v) for v in x)]
-    out = []
+    out = set()
     for q, a in good:
         if q % every == 0:
             found = sorted((-int(a @ b), i) for i, b in good if i != q and len(a) == len(b))[:k]
-            out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(found)]
+            out |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(found)}
     return sorted(out)
 
 
@@ -186,11 +186,10 @@ def test_top_k(spark):
     rows += [(400, None), (420, [1.0, None]), (440, [float("nan")] * 16), (460, [float("inf")] * 16), (None, [1.0] * 16), (480, [1.0, 2.0]), (481, [3.0, 1.0]), (500, [0.0] * 16), (501, rows[0][1]), (502, rows[0][1])]
     made = spark.createDataFrame([(i, x, 1, 2) for i, x in rows], "vec_id long, embedding array<double>, label int, score int")
     want = top_by_force(rows)
-    for how in ({}, {"block": 16, "together": 2, "pivots": 3}):
+    for how in ({}, {"block": 16, "group": 40, "pivots": 3, "batch": 4}):
         got = sorted(map(tuple, topk.top_k(made, **how).collect()))
         assert got == want
-    twice = made.union(made)
-    assert sorted(map(tuple, topk.top_k(twice).collect())) == want
+    assert sorted(map(tuple, topk.top_k(made.union(made)).collect())) == top_by_force(rows * 2)
     assert topk.top_k(made.limit(0)).collect() == []
 
 
@@ -206,7 +205,31 @@ def test_huge_components_stay_exact(spark):
 def test_threshold_stops_early():
     r = np.random.default_rng(2)
     near, far = 100 + r.integers(0, 5, (50, 4)), r.integers(-5, 5, (1000, 4))
-    lists = [topk.SortedLists(np.arange(50), near.astype(float)), topk.SortedLists(50 + np.arange(1000), far.astype(float))]
     s = topk.Search(np.full((1, 4), 10.0), np.array([-1]), 5)
-    s.over(lists)
-    assert lists[1]._order is None and set(s.top[2]) <= set(range(50))
+    s.over(topk.SortedLists(np.arange(50), near.astype(float)))
+    before = s.scored
+    s.over(topk.SortedLists(50 + np.arange(1000), far.astype(float)))
+    assert s.scored == before <= 50 and set(s.top[2]) <= set(range(50))
+    # one long list that falls fast: few rows are met before the threshold is below the k-th score
+    falling = np.sort(r.pareto(1.5, (4000, 2)) * 100, axis=0)[::-1].round()
+    t = topk.Search(np.array([[3.0, 2.0]]), np.array([-1]), 5)
+    t.over(topk.SortedLists(np.arange(4000), falling))
+    assert t.scored < 200 and [int(x) for x in t.top[1]] == sorted((falling @ np.array([3.0, 2.0])).astype(int), reverse=True)[:5]
+
+
+def test_clusters_are_scored_in_part():
+    """Of vectors in clusters a query scores little more than its own cluster's block."""
+    r = np.random.default_rng(5)
+    centres = r.standard_normal((32, 64)) * 64
+    rows = np.floor(np.concatenate([c + r.standard_normal((200, 64)) for c in centres]))
+    blocks = [topk.SortedLists(np.arange(200 * i, 200 * i + 200), rows[200 * i : 200 * i + 200]) for i in range(32)]
+    queries = rows[::100][:32]
+    s = topk.Search(queries, np.arange(0, 3200, 100), 20)
+    for i in np.argsort(-np.stack([b.bound(queries) for b in blocks]).max(axis=1)):
+        s.over(blocks[i])
+    assert s.scored < 0.2 * len(queries) * len(rows)
+    for q in range(len(queries)):
+        scores = rows @ queries[q]
+        want = sorted((-int(v), i) for i, v in enumerate(scores) if i != 100 * q)[:20]
+        at = s.top[0] == q
+        assert [(-int(v), int(i)) for v, i in zip(s.top[1][at], s.top[2][at], strict=True)] == want
