@@ -41,6 +41,13 @@ def materialize(df: DataFrame, name: str, sort: list[str] | None = None) -> Data
     return spark.read.schema(df.schema).parquet(path)
 
 
+def checked(df: DataFrame, name: str, most: int = 2_000_000) -> DataFrame:
+    """A table of a few numbers a row, written, and broadcast if it has at most ``most`` rows; a larger one is left to a
+    shuffled join."""
+    written = materialize(df, name)
+    return F.broadcast(written) if written.count() <= most else written
+
+
 def forget(df: DataFrame) -> None:
     """Deletes the files of a table that ``materialize`` wrote and that nothing reads any more."""
     spark = df.sparkSession

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from starprism.llm.common import materialize, row_id_and_text
+from starprism.llm.common import checked, materialize, row_id_and_text
 
 WINDOW = 8
 # fixed values: word characters are digits, a-z and everything beyond ASCII; A-Z become a-z, all others end a word
@@ -124,7 +124,7 @@ def contaminated_rows(docs: DataFrame, own: str, items: DataFrame) -> DataFrame:
     kept = item_words(items)
     terms = vocabulary(kept)
     index = positional_index(row_id_and_text(docs, own), terms)
-    return phrase_hits(index, windows(item_places(kept, terms, term_counts(index)))).select("rid").distinct()
+    return checked(phrase_hits(index, windows(item_places(kept, terms, term_counts(index)))).select("rid").distinct(), "contaminated")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, least_items: int = 2, most: int = BROADCAST_ROWS) -> DataFrame:
