@@ -24,6 +24,16 @@ def truncating_div(a: Column, b: Column) -> Column:
     return F.call_function("div", a, b)
 
 
+def decimal_div(a: Column, b: Column) -> Column:
+    """Division of decimals to 16 fractional digits, null for a zero divisor."""
+    return (a.cast("decimal(19,4)") / F.nullif(b.cast("decimal(19,4)"), F.lit(0).cast("decimal(19,4)"))).cast("decimal(38,16)")
+
+
+def varchar(text: Column, n: int) -> Column:
+    """CAST AS VARCHAR(n) as engines have it that cut longer values."""
+    return F.substring(text.cast("string"), 1, n)
+
+
 def round_to(value: Column, multiple: Column) -> Column:
     """The largest multiple not above the value."""
     return F.floor(value / multiple) * multiple

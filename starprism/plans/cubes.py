@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from starprism.cube.cuboid import Lattice
 from starprism.cube.engine import Engine
-from starprism.plans.star import _root, sales_cube, sales_engine, sales_model, years
+from starprism.cube.model import DISTINCT, Measure
+from starprism.plans.relational import near
+from starprism.plans.star import _root, sales_cube, sales_engine, sales_model, views, years
 
 ROUTED: dict[str, tuple[str, str]] = {  # name: SQL, kind of realization
     "cube_exact": ("SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS qty, count(*) AS n FROM lineitem GROUP BY l_returnflag, l_linestatus", "cube"),
@@ -49,8 +55,6 @@ def _merged(spark, sf_dir) -> Engine:
     low, high = years(spark, sf_dir)
     engine = Engine(spark, _root(spark), lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet"))
     small = sales_cube("merged", f"{low}-01-01")
-    from dataclasses import replace
-
     engine.create(replace(small, row_key=small.row_key[:3], groups=(("lineitem.l_returnflag", "lineitem.l_linestatus", "lineitem.ship_year"),), hierarchies=(), derived={}, expressions={k: v for k, v in small.expressions.items() if k.endswith("year")}))
     for y in range(low + 2, high + 2, 2):
         engine.build("merged", f"{y}-01-01")
@@ -71,10 +75,103 @@ def cube_merge(spark, sf_dir):
     return out
 
 
+FLAGS = "SELECT l_returnflag, CAST(year(l_shipdate) AS BIGINT) AS y, round(sum(l_quantity), 2) AS qty, count(*) AS n FROM lineitem GROUP BY l_returnflag, year(l_shipdate)"
+_SKETCH = Measure("sketch", DISTINCT, ("lineitem.l_suppkey",), "hllc(12)")
+_NUMBER = Measure("suppliers", DISTINCT, ("lineitem.l_suppkey",), "bigint", "sketch")
+_SIGMA = 1.04 / 2**6  # of sketches of 2^12 registers
+
+
+def _few(spark, sf_dir, name: str, *measures) -> tuple[Engine, int, int]:
+    """An engine with a cube of few groups (flags and years), nothing built yet; the first and the last year."""
+    low, high = years(spark, sf_dir)
+    views(spark, sf_dir)
+    engine = Engine(spark, _root(spark), lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet"))
+    whole = sales_cube(name, f"{low}-01-01")
+    engine.create(replace(whole, row_key=whole.row_key[:3], measures=whole.measures[:2] + measures, groups=(("lineitem.l_returnflag", "lineitem.l_linestatus", "lineitem.ship_year"),), hierarchies=(), derived={}, expressions={k: v for k, v in whole.expressions.items() if k.endswith("year")}))
+    return engine, low, high
+
+
+def _answered(engine: Engine, text: str, segments: int) -> DataFrame:
+    out = engine.sql(text)
+    if engine.last["kind"] != "cube" or engine.last["segments"] != segments:
+        raise RuntimeError(f"routed to {engine.last}")
+    return out
+
+
+def cube_few_groups(spark, sf_dir):
+    """A cube with far fewer rows than facts, appended in two segments."""
+    engine, low, high = _few(spark, sf_dir, "few")
+    engine.build("few", f"{low + 1}-01-01")
+    engine.build("few", f"{high + 1}-01-01")
+    return _answered(engine, FLAGS, 2)
+
+
+def cube_refresh(spark, sf_dir):
+    """A segment built anew in its place."""
+    engine, low, high = _few(spark, sf_dir, "fresh")
+    engine.build("fresh", f"{low + 1}-01-01")
+    engine.build("fresh", f"{high + 1}-01-01")
+    before = [s.path for s in engine.realizations["fresh"].timeline.ready()]
+    engine.refresh("fresh", f"{low}-01-01", f"{low + 1}-01-01")
+    after = [s.path for s in engine.realizations["fresh"].timeline.ready()]
+    if before[0] == after[0] or before[1] != after[1]:
+        raise RuntimeError("not refreshed")
+    return _answered(engine, FLAGS, 2)
+
+
+def cube_append_and_merge(spark, sf_dir):
+    """Distinct counts kept as numbers: each append is merged with all before, so one segment stays."""
+    engine, low, high = _few(spark, sf_dir, "counted", _SKETCH, _NUMBER)
+    engine.build("counted", f"{low + 1}-01-01")
+    engine.build("counted", f"{high + 1}-01-01")
+    return _answered(engine, FLAGS, 1)
+
+
+def cube_holistic_count(spark, sf_dir):
+    """The stored numbers of distinct suppliers by flag, held against exact ones."""
+    engine, _, high = _few(spark, sf_dir, "holistic", _SKETCH, _NUMBER)
+    engine.build("holistic", f"{high + 1}-01-01")
+    r = engine.realizations["holistic"]
+    kept = spark.read.parquet(r.timeline.segments[0].cuboids[str(r.lattice.mask(["lineitem.l_returnflag"]))])
+    exact = spark.sql("SELECT l_returnflag, count(DISTINCT l_suppkey) AS n_suppliers FROM lineitem GROUP BY l_returnflag")
+    return kept.join(exact, kept["lineitem__l_returnflag"].eqNullSafe(exact["l_returnflag"])).select("l_returnflag", "n_suppliers", near("m__suppliers", "n_suppliers", _SIGMA).alias("near"))
+
+
+def cube_distinct_pairs(spark, sf_dir):
+    """A stored sketch of pairs of columns, held against exact counts."""
+    engine, low, high = _few(spark, sf_dir, "pairs", Measure("pairs", DISTINCT, ("lineitem.l_returnflag", "lineitem.l_suppkey"), "hllc(12)"))
+    engine.build("pairs", f"{low + 1}-01-01")
+    engine.build("pairs", f"{high + 1}-01-01")
+    out = _answered(engine, "SELECT l_linestatus, approx_count_distinct(struct(l_returnflag, l_suppkey)) AS pairs FROM lineitem GROUP BY l_linestatus", 2)
+    exact = spark.sql("SELECT l_linestatus, count(DISTINCT l_returnflag, l_suppkey) AS n_pairs FROM lineitem GROUP BY l_linestatus")
+    return out.join(exact, "l_linestatus").select("l_linestatus", "n_pairs", near("pairs", "n_pairs", _SIGMA).alias("near"))
+
+
+def cube_snapshot_refresh(spark, sf_dir):
+    """Derived columns after the lookup's snapshot was asked for anew; one of unchanged rows is used again."""
+    engine = sales_engine(spark, sf_dir)
+    before = engine.realizations["sales"].snapshots["supplier"]
+    if engine.refresh_snapshot("sales", "supplier") != before:
+        raise RuntimeError("an unchanged lookup was written again")
+    return _routed("SELECT s_name, count(*) AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY s_name", "cube")(spark, sf_dir)
+
+
+def cube_or_ranges(spark, sf_dir):
+    """Of ranges joined by OR only the segments that they meet are read."""
+    engine, low, high = _few(spark, sf_dir, "ranges")
+    for y in sorted({low + 1, max(low + 1, high), high + 1}):
+        engine.build("ranges", f"{y}-01-01")
+    day = lambda y: f"TIMESTAMP '{y}-01-01 00:00:00'"
+    at = f"(l_shipdate >= {day(low)} AND l_shipdate < {day(low + 1)}) OR (l_shipdate >= {day(high)} AND l_shipdate < {day(high + 1)})"
+    return _answered(engine, f"SELECT l_returnflag, count(*) AS n FROM lineitem WHERE {at} GROUP BY l_returnflag", 2)
+
+
 def hll_merge(spark, sf_dir):
-    """Stored sketches of two segments, united."""
+    """Stored sketches of two segments, united, held against exact counts."""
     engine = sales_engine(spark, sf_dir)
-    return engine.sql("SELECT l_returnflag, approx_count_distinct(l_partkey) AS parts FROM lineitem GROUP BY l_returnflag")
+    out = _answered(engine, "SELECT l_returnflag, approx_count_distinct(l_partkey) AS parts FROM lineitem GROUP BY l_returnflag", 2)
+    exact = spark.sql("SELECT l_returnflag, count(DISTINCT l_partkey) AS n_parts FROM lineitem GROUP BY l_returnflag")
+    return out.join(exact, "l_returnflag").select("l_returnflag", "n_parts", near("parts", "n_parts", _SIGMA).alias("near"))
 
 
 def _detail(spark, sf_dir) -> Engine:
@@ -112,15 +209,35 @@ def lookup_scan(spark, sf_dir):
     return out
 
 
+_LATTICE = Lattice(sales_cube())
+_YEARLY = [c for c in _LATTICE.valid if "lineitem.ship_year" in _LATTICE.names(c)]
+
+
 def cuboid_sizes(spark, sf_dir):
-    return sales_engine(spark, sf_dir).sizes("sales")
+    """Rows of every cuboid that holds the year, whose groups are of one segment each (segments are whole years)."""
+    sizes = sales_engine(spark, sf_dir).sizes("sales")
+    return sizes.where(F.col("cuboid").isin(_YEARLY)).groupBy("cuboid").agg(F.sum("n").alias("n"))
+
+
+def _size_sql() -> str:
+    columns = {"lineitem.ship_year": "year(l_shipdate)", "lineitem.ship_quarter": "quarter(l_shipdate)", "lineitem.ship_month": "month(l_shipdate)"}
+    each = lambda c: ", ".join(columns.get(x, x.split(".")[1]) for x in _LATTICE.names(c))
+    star = "lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey"
+    return " UNION ALL ".join(f"SELECT CAST({c} AS INTEGER) AS cuboid, count(*) AS n FROM (SELECT DISTINCT {each(c)} FROM {star}) t" for c in _YEARLY)
 
 
-FRAMES = (cube_segment_prune, cube_merge, hll_merge, detail_rows, detail_aggregate, lookup_scan, cuboid_sizes)
+FRAMES = (cube_segment_prune, cube_merge, cube_few_groups, cube_refresh, cube_append_and_merge, cube_holistic_count, cube_distinct_pairs, cube_snapshot_refresh, cube_or_ranges, hll_merge, detail_rows, detail_aggregate, lookup_scan, cuboid_sizes)
 _HALF = "(SELECT year(min(l_shipdate)) + (year(max(l_shipdate)) + 1 - year(min(l_shipdate))) // 2 AS y FROM lineitem)"
 FRAME_SQL = {
     "cube_segment_prune": f"SELECT l_returnflag, count(*) AS n FROM lineitem WHERE year(l_shipdate) < (SELECT y FROM {_HALF}) GROUP BY l_returnflag",
     "cube_merge": "SELECT l_returnflag, CAST(year(l_shipdate) AS BIGINT) AS y, round(sum(l_quantity), 2) AS qty, count(*) AS n FROM lineitem GROUP BY l_returnflag, year(l_shipdate)",
+    "cube_few_groups": FLAGS, "cube_refresh": FLAGS, "cube_append_and_merge": FLAGS,
+    "cube_holistic_count": "SELECT l_returnflag, count(DISTINCT l_suppkey) AS n_suppliers, TRUE AS near FROM lineitem GROUP BY l_returnflag",
+    "cube_distinct_pairs": "SELECT l_linestatus, count(DISTINCT (l_returnflag, l_suppkey)) AS n_pairs, TRUE AS near FROM lineitem GROUP BY l_linestatus",
+    "cube_snapshot_refresh": "SELECT s_name, count(*) AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY s_name",
+    "cube_or_ranges": "SELECT l_returnflag, count(*) AS n FROM lineitem, (SELECT year(min(l_shipdate)) AS low, year(max(l_shipdate)) AS high FROM lineitem) y WHERE year(l_shipdate) IN (low, high) GROUP BY l_returnflag",
+    "hll_merge": "SELECT l_returnflag, count(DISTINCT l_partkey) AS n_parts, TRUE AS near FROM lineitem GROUP BY l_returnflag",
+    "cuboid_sizes": _size_sql(),
     "detail_rows": "SELECT l_orderkey, l_linenumber, p_brand FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size = 7 AND l_tax > 0.03",
     "detail_aggregate": "SELECT p_brand, count(DISTINCT l_orderkey) AS orders_n, round(sum(l_tax), 4) AS tax FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand",
     "lookup_scan": "SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey <= 50",

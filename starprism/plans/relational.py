@@ -81,7 +81,15 @@ SHARED: dict[str, tuple[str, str | None]] = {
     "fn_logic": ("SELECT c_custkey, (c_acctbal > 0) IS TRUE AS pos, (c_acctbal > 0) IS NOT FALSE AS notneg, NOT (c_nationkey = 3) AS other FROM customer", None),
     "fn_array_map": ("SELECT vec_id, element_at(embedding, 1) AS first_x, slice(embedding, 2, 2)[0] AS second_x, size(embedding) AS dims FROM embeddings", "SELECT vec_id, embedding[1] AS first_x, embedding[2:3][1] AS second_x, CAST(len(embedding) AS INTEGER) AS dims FROM embeddings"),
     "unnest": ("SELECT vec_id, pos, x FROM embeddings LATERAL VIEW posexplode(slice(embedding, 1, 3)) t AS pos, x", "SELECT vec_id, CAST(pos AS INTEGER) AS pos, embedding[pos + 1] AS x FROM embeddings, range(3) r(pos)"),
-    "interval_text": ("SELECT CAST(INTERVAL '14' MONTH AS STRING) AS ym, CAST(CAST(o_orderdate + INTERVAL '1' DAY AS DATE) AS STRING) AS next_day, o_orderkey FROM orders", "SELECT 'INTERVAL ''14'' MONTH' AS ym, CAST(CAST(o_orderdate + INTERVAL 1 DAY AS DATE) AS VARCHAR) AS next_day, o_orderkey FROM orders"),
+    "interval_text": ("SELECT o_orderkey, CAST(make_ym_interval(0, CAST(o_orderkey % 30 AS INT)) AS STRING) AS ym, CAST(make_dt_interval(1, CAST(o_orderkey % 24 AS INT), 5, 0) AS STRING) AS dt, CAST(CAST(o_orderdate + INTERVAL '1' DAY AS DATE) AS STRING) AS next_day FROM orders", "SELECT o_orderkey, 'INTERVAL ' || chr(39) || CAST((o_orderkey % 30) // 12 AS VARCHAR) || '-' || CAST((o_orderkey % 30) % 12 AS VARCHAR) || chr(39) || ' YEAR TO MONTH' AS ym, 'INTERVAL ' || chr(39) || '1 ' || lpad(CAST(o_orderkey % 24 AS VARCHAR), 2, '0') || ':05:00' || chr(39) || ' DAY TO SECOND' AS dt, CAST(CAST(o_orderdate + INTERVAL 1 DAY AS DATE) AS VARCHAR) AS next_day FROM orders"),
+    "intersect_all": ("SELECT c_nationkey AS k FROM customer INTERSECT ALL SELECT s_nationkey AS k FROM supplier", None),
+    "except_all": ("SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey AS k FROM supplier", None),
+    "filter_in_long": (f"SELECT o_orderkey FROM orders WHERE o_custkey IN ({', '.join(map(str, range(0, 6000, 3)))})", None),
+    "fn_cast_kinds": ("SELECT p_partkey, CAST(CAST(p_size AS TINYINT) AS INT) AS b, CAST(CAST(p_size AS SMALLINT) AS INT) AS s, CAST(CAST(p_size AS FLOAT) AS DOUBLE) AS f, CAST(p_size - 1 AS BOOLEAN) AS t, CAST('true' AS BOOLEAN) AS y FROM part", None),
+    "fn_least_nulls": ("SELECT p_partkey, least(nullif(p_size, 10), 20) AS lo, greatest(nullif(p_size, 10), 5) AS hi FROM part", None),
+    "fn_map": ("SELECT p_partkey, element_at(map('size', p_size, 'two', 2), 'size') AS size, map('a', p_brand)['a'] AS brand, size(map_keys(map(p_partkey, 1))) AS n FROM part", "SELECT p_partkey, p_size AS size, p_brand AS brand, CAST(1 AS INTEGER) AS n FROM part"),
+    "fn_timestamp_text": ("SELECT o_orderkey, CAST(o_orderdate AS STRING) AS shown, CAST(CAST(o_orderdate AS STRING) AS TIMESTAMP) = o_orderdate AS back, date_format(o_orderdate, 'HH:mm:ss') AS clock FROM orders", "SELECT o_orderkey, CAST(o_orderdate AS VARCHAR) AS shown, CAST(CAST(o_orderdate AS VARCHAR) AS TIMESTAMP) = o_orderdate AS back, strftime(o_orderdate, '%H:%M:%S') AS clock FROM orders"),
+    "fn_current": ("SELECT CURRENT_DATE >= DATE '2024-01-01' AS day, CURRENT_TIMESTAMP >= TIMESTAMP '2024-01-01 00:00:00' AS moment, localtimestamp() >= TIMESTAMP_NTZ '2024-01-01 00:00:00' AS local, datediff(CURRENT_DATE, CAST(CURRENT_TIMESTAMP AS DATE)) AS apart", "SELECT CURRENT_DATE >= DATE '2024-01-01' AS day, TRUE AS moment, TRUE AS local, CAST(0 AS INTEGER) AS apart"),
     "healed_sql": ("SELECT TOP 5 {fn upper(p_brand)} AS brand, SUM(1) AS n FROM part WHERE p_brand SIMILAR TO '%(1|2)_' GROUP BY p_brand ORDER BY 2 DESC, 1", "SELECT upper(p_brand) AS brand, count(1) AS n FROM part WHERE regexp_full_match(p_brand, '.*(1|2).') GROUP BY p_brand ORDER BY 2 DESC, 1 LIMIT 5"),
 }
 
@@ -125,18 +133,39 @@ def window_top_per_group(spark, sf_dir):
     return _read(spark, sf_dir, "part").withColumn("rk", F.row_number().over(order)).where("rk <= 3").select("p_brand", "p_partkey", "rk")
 
 
+def fn_decimal_div(spark, sf_dir):
+    d = _read(spark, sf_dir, "lineitem")
+    return d.select("l_orderkey", "l_linenumber", F.floor(own.decimal_div(F.col("l_extendedprice"), F.col("l_quantity")) * 1000 + F.lit(0.003)).cast("long").alias("thousandths"), own.decimal_div(F.col("l_tax"), F.lit(0)).isNull().alias("none"))
+
+
+def fn_varchar(spark, sf_dir):
+    d = _read(spark, sf_dir, "part")
+    return d.select("p_partkey", own.varchar(F.col("p_type"), 3).alias("cut"), own.varchar(F.col("p_size"), 1).alias("digit"))
+
+
+def near(estimate: str, exact: str, sigma: float):
+    """Whether a sketch's estimate is within three standard errors of the exact count."""
+    return F.abs(F.col(estimate) - F.col(exact)) <= F.greatest(3 * sigma * F.col(exact), F.lit(1.0))
+
+
 def hll_one_shot(spark, sf_dir):
-    return _read(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(own.sketch_distinct(F.col("l_partkey"), 14).alias("parts"), F.approx_count_distinct("l_suppkey", 0.02).alias("suppliers"))
+    """Distinct counts by sketch in one pass, held against exact ones."""
+    d = _read(spark, sf_dir, "lineitem")
+    both = d.groupBy("l_returnflag").agg(own.sketch_distinct(F.col("l_partkey"), 14).alias("parts"), F.approx_count_distinct("l_suppkey", 0.02).alias("suppliers"), F.count_distinct("l_partkey").alias("n_parts"), F.count_distinct("l_suppkey").alias("n_suppliers"))
+    return both.select("l_returnflag", "n_parts", "n_suppliers", near("parts", "n_parts", 1.04 / 2**7).alias("parts_near"), near("suppliers", "n_suppliers", 0.02).alias("suppliers_near"))
 
 
 def column_cardinality(spark, sf_dir):
+    """Approximate cardinality of each column, held against exact ones."""
     from starprism.cube.engine import cardinality
 
-    return cardinality(_read(spark, sf_dir, "orders").select("o_orderstatus", "o_orderpriority", "o_custkey"))
+    d = _read(spark, sf_dir, "orders").select("o_orderstatus", "o_orderpriority", "o_custkey")
+    exact = d.agg(*[F.count_distinct(c).alias(c) for c in d.columns]).select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("n_exact")) for c in d.columns])).alias("x")).select("x.*")
+    return cardinality(d).join(exact, "column_name").select("column_name", "n_exact", near("n_distinct", "n_exact", 0.02).alias("near"))
 
 
 def csv_round_trip(spark, sf_dir):
-    """Nation written with a header by the CSV writer and read by the delimited reader."""
+    """Nation written by the CSV writer and read by the delimited reader."""
     from starprism.plans.star import _root
 
     path = _root(spark) + "/nation-csv"
@@ -145,7 +174,7 @@ def csv_round_trip(spark, sf_dir):
     return sources.read_delimited(spark, path, nation.schema)
 
 
-FRAMES = (param_binding, fn_compat, distinct_values, events_tumbling, events_sessions, window_top_per_group, hll_one_shot, column_cardinality, csv_round_trip)
+FRAMES = (param_binding, fn_compat, distinct_values, events_tumbling, events_sessions, window_top_per_group, fn_decimal_div, fn_varchar, hll_one_shot, column_cardinality, csv_round_trip)
 FRAME_SQL = {
     "param_binding": "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 1000.0",
     "fn_compat": "SELECT o_orderkey, CAST(month(o_orderdate) // 4 + 1 AS INTEGER) AS q4, array_to_string(list_transform(regexp_extract_all(lower(o_orderpriority) || '-abc d2e', '[A-Za-z0-9]+|[^A-Za-z0-9]+'), lambda x: upper(x[1]) || lower(x[2:])), '') AS cap, floor(o_totalprice / 100.0) * 100.0 AS hundreds, CAST(trunc(o_orderkey / -7) AS BIGINT) AS div7 FROM orders",
@@ -154,6 +183,10 @@ FRAME_SQL = {
     "events_sessions": "WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events), s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS session_start, count(*) AS n FROM s GROUP BY user_id, k",
     "window_top_per_group": "SELECT p_brand, p_partkey, CAST(rk AS INTEGER) AS rk FROM (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS rk FROM part) WHERE rk <= 3",
     "csv_round_trip": "SELECT * FROM nation",
+    "fn_decimal_div": "SELECT l_orderkey, l_linenumber, CAST(floor(CAST(CAST(l_extendedprice AS DECIMAL(19,4)) AS DOUBLE) / CAST(CAST(l_quantity AS DECIMAL(19,4)) AS DOUBLE) * 1000 + 0.003) AS BIGINT) AS thousandths, TRUE AS none FROM lineitem",
+    "fn_varchar": "SELECT p_partkey, substring(p_type, 1, 3) AS cut, substring(CAST(p_size AS VARCHAR), 1, 1) AS digit FROM part",
+    "hll_one_shot": "SELECT l_returnflag, count(DISTINCT l_partkey) AS n_parts, count(DISTINCT l_suppkey) AS n_suppliers, TRUE AS parts_near, TRUE AS suppliers_near FROM lineitem GROUP BY l_returnflag",
+    "column_cardinality": " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(DISTINCT {c}) AS n_exact, TRUE AS near FROM orders" for c in ("o_orderstatus", "o_orderpriority", "o_custkey")),
 }
 
 QUERIES = {name: _sql(text) for name, (text, _) in SHARED.items()} | {f.__name__: f for f in FRAMES}

@@ -1,9 +1,10 @@
 import pytest
 from tests.conftest import SF
 
-from starprism.cube import sqlcompat
+from starprism.cube import routing, sqlcompat
 from starprism.cube.engine import Engine, Job, cardinality, rule
 from starprism.cube.model import COUNT, DISTINCT, SUM, CubeDesc, Measure, RowKey
+from starprism.operators import ScanTooLarge
 from starprism.plans.star import sales_cube, sales_engine, sales_model, views, years
 
 
@@ -206,6 +207,92 @@ def test_queries_with_limits_parameters_and_cache(spark, engine):
     assert engine.store.read("queries.json") == {"mine": q}
 
 
+def test_bounds_and_cache_administration(spark, engine):
+    q = "SELECT l_suppkey, count(*) n FROM lineitem GROUP BY l_suppkey"
+    with pytest.raises(ScanTooLarge):
+        engine.query(q, most=3)
+    assert len(engine.query(q, most=3, partial=2).rows) == 2
+    engine.query(q, threshold_s=-1)
+    assert engine.query(q).cached
+    engine.clear_cache()
+    assert not engine.query(q).cached
+    raw = "SELECT l_tax, count(*) n FROM lineitem GROUP BY l_tax"  # the tables may change: not kept
+    engine.query(raw, threshold_s=-1)
+    assert not engine.query(raw).cached
+
+
+def test_projects_costs_updates_and_jobs(spark, tmp_path):
+    low, high = years(spark, SF)
+    views(spark, SF)
+    engine = Engine(spark, f"file://{tmp_path}/root", lambda t: spark.read.parquet(f"{SF}/{t}.parquet"))
+    for name in ("a", "b"):
+        engine.create(small(name, start=f"{low}-01-01"))
+        engine.build(name, f"{high + 1}-01-01")
+    q = "SELECT l_returnflag, count(*) n FROM lineitem GROUP BY l_returnflag"
+    engine.project("one", ["b"])
+    engine.sql(q, project="one")
+    assert engine.last["realization"] == "b"
+    engine.set_cost("a", 10**9)
+    engine.sql(q)
+    assert engine.last["realization"] == "b"
+    engine.set_cost("a", 0)
+    engine.sql(q)
+    assert engine.last["realization"] == "a"
+    with pytest.raises(KeyError):
+        engine.project("two", ["nowhere"])
+    with pytest.raises(ValueError, match="purge"):
+        engine.update(CubeDesc("a", sales_model(start=f"{low}-01-01"), (RowKey("lineitem.l_returnflag"),), (Measure("n", COUNT),), (("lineitem.l_returnflag",),)))
+    assert engine.update(small("a", start=f"{low}-01-01")).timeline.ready()
+    engine.save_query("mine", q)
+    again = Engine(spark, f"file://{tmp_path}/root", engine.tables)
+    again.load()
+    assert again.saved == {"mine": q} and again.projects == {"one": ["b"]} and again.realizations["a"].fixed_cost == 0
+    tables = engine.tables
+    engine.create(small("c", start=f"{low}-01-01"))
+    engine.realizations["c"].tables = engine.tables = lambda t: 1 / 0
+    with pytest.raises(ZeroDivisionError):
+        engine.build("c", f"{high + 1}-01-01")
+    failed = engine.jobs[-1]
+    assert failed.status == "ERROR"
+    engine.realizations["c"].tables = engine.tables = tables
+    assert engine.resume(failed.id) and failed.status == "SUCCEED" and engine.realizations["c"].timeline.ready()
+    waiting = Job("c", "BUILD")
+    engine.jobs.append(waiting)
+    assert engine.cancel(waiting.id).status == "DISCARDED"
+
+
+def test_ranges_joined_by_or():
+    column = "lineitem__l_shipdate"
+    day = lambda op, d: f"(`{column}` {op} TIMESTAMP '{d} 00:00:00')"
+    both = lambda a, b: f"({day('>=', a)} AND {day('<', b)})"
+    assert routing._alternatives(f"({both('1995-01-01', '1996-01-01')} OR {both('1997-01-01', '1998-01-01')})", column) == [("1995-01-01", "1996-01-01"), ("1997-01-01", "1998-01-01")]
+    assert routing._alternatives(both("1995-01-01", "1996-01-01"), column) is None
+    assert routing._alternatives(f"({both('1995-01-01', '1996-01-01')} OR (`x__y` = 1))", column) is None
+
+
+def test_literals_that_look_like_calls(spark, engine):
+    q = "SELECT l_returnflag || 'count(1) sum(l_quantity)' AS f, count(*) AS n, CASE WHEN count(*) > 1 THEN 'count(1)' ELSE '`lineitem__l_tax`' END AS t FROM lineitem GROUP BY l_returnflag"
+    assert norm(engine.sql(q).collect()) == norm(spark.sql(q).collect()) and engine.last["kind"] == "cube"
+
+
+def test_new_facts_are_seen(spark, tmp_path):
+    low, high = years(spark, SF)
+    path = f"file://{tmp_path}/facts"
+    spark.read.parquet(f"{SF}/lineitem.parquet").write.parquet(path)
+    tables = lambda t: spark.read.parquet(path if t == "lineitem" else f"{SF}/{t}.parquet")
+    engine = Engine(spark, f"file://{tmp_path}/root", tables)
+    engine.create(small("c", start=f"{low}-01-01"))
+    engine.build("c", f"{high + 1}-01-01")
+    tables("lineitem").createOrReplaceTempView("lineitem")
+    q = "SELECT count(*) AS n FROM lineitem"
+    n = engine.sql(q).first().n
+    assert engine.last["kind"] == "cube"
+    tables("lineitem").limit(3).selectExpr("*", "l_shipdate + INTERVAL '40' YEAR AS later").drop("l_shipdate").withColumnRenamed("later", "l_shipdate").select(*tables("lineitem").columns).write.mode("append").parquet(path)
+    tables("lineitem").createOrReplaceTempView("lineitem")
+    assert engine.sql(q).first().n == n + 3 and engine.last["kind"] == "spark"
+    views(spark, SF)
+
+
 def test_sql_of_other_dialects():
     heal = sqlcompat.heal
     assert heal("select {fn upper({fn lower(a)})} from t") == "select upper(lower(a)) from t"
