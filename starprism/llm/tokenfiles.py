@@ -96,27 +96,25 @@ def shard_starts(shards: DataFrame, together: int = 1000) -> DataFrame:
 
 
 def read_token_files(spark: SparkSession, folder: str, starts: DataFrame | None = None) -> DataFrame:
-    """A row per document, from the files: doc_id, start, n_tokens, ids_crc32. Files whose checksum fails raise."""
+    """A row per document, from the files: doc_id, start (of its shard's first id, where ``starts`` gives that, on),
+    n_tokens, ids_crc32. Files whose checksum fails raise. Only the list of files is joined with the starts."""
 
     def documents(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
-            for path in batch.column(0).to_pylist():
+            for path, start in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 with open_file(path) as f:
-                    name, data = path.rpartition("/")[2], f.read()
-                shard = WaveletMatrix(data)
+                    shard = WaveletMatrix(f.read())
                 ids, lengths = shard_documents(shard)
                 check_ends(shard, lengths)
                 view = memoryview(shard.decode().astype("<u4")).cast("B")
                 ends = np.cumsum(lengths)
                 crc = [zlib.crc32(view[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(ids), pa.string()), pa.array(ids, pa.int64()), pa.array(ends - lengths, pa.int64()), pa.array(lengths, pa.int64()), pa.array(crc, pa.int64())], ["name", "doc_id", "inside", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ends - lengths + start, pa.int64()), pa.array(lengths, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     batches(spark)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wvm").load(folder).select("path", "length")  # executors read one file at a time
-    read = files.select("path").repartition(max(1, spark.sparkContext.defaultParallelism), "path").mapInArrow(documents, "name string, doc_id long, inside long, n_tokens long, ids_crc32 long")
-    if starts is None:
-        return read
-    return read.join(starts, "name").select("doc_id", (F.col("start") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wvm").load(folder).select("path", F.element_at(F.split("path", "/"), -1).alias("name"))  # executors read one file at a time
+    placed = files.join(starts.hint("merge"), "name").select("path", "start") if starts is not None else files.select("path", F.lit(0).cast("long").alias("start"))
+    return placed.repartition(max(1, spark.sparkContext.defaultParallelism), "path").mapInArrow(documents, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op10(docs: DataFrame, path: str | None = None) -> DataFrame:
