@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starprism.llm.common import batches, id_and_text, materialize, texts_of
+from starprism.llm.common import batches, id_and_text, materialize, releasing, texts_of
 from starprism.llm.tokens import encoder, tokenizer_path
 
 END_ID = 1
@@ -85,7 +85,7 @@ def document_pieces(docs: DataFrame, path: str, capacity: int = 4096, ids: bool
             yield pa.RecordBatch.from_arrays(out, names)
 
     batches(docs.sparkSession)
-    return id_and_text(docs).mapInArrow(pieces, PIECES + (", ids array<int>" if ids else ""))
+    return id_and_text(docs).mapInArrow(releasing(pieces), PIECES + (", ids array<int>" if ids else ""))
 
 
 def _packer(names: list[str], capacity: int, round_no: int, pass_on: int):

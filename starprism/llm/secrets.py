@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starprism.llm.common import batches, id_and_text, texts_of
+from starprism.llm.common import batches, id_and_text, releasing, texts_of
 
 # fixed values: the three base patterns
 ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -174,5 +174,5 @@ def redact(docs: DataFrame, reach: int | None = None) -> DataFrame:
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
 
     batches(docs.sparkSession)
-    out = docs.mapInArrow(masked, schema)
+    out = docs.mapInArrow(releasing(masked), schema)
     return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.char_length("text")).otherwise(F.col("n_chars")).cast(schema["n_chars"].dataType)) if "n_chars" in schema.fieldNames() else out

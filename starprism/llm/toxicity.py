@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from starprism.llm.common import Rows, WordCache, batches, free_name, id_and_text, list_parts, remainder, spread, texts_of
+from starprism.llm.common import Rows, WordCache, batches, free_name, id_and_text, list_parts, releasing, remainder, spread, texts_of
 from starprism.llm.nn import Adam, both_back, both_ways, glorot, sigmoid
 from starprism.llm.sampling import stratified
 
@@ -270,7 +270,7 @@ def _scorer(held, at: str, name: str):
                 out = sigmoid(np.maximum.reduceat(logit, np.searchsorted(of, np.arange(len(ends) - 1))).astype(np.float64)) if len(of) else out
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*batch.schema.names, name])
 
-    return scored
+    return releasing(scored)
 
 
 def score(docs: DataFrame, net: WindowNet | None) -> DataFrame:
