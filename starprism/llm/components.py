@@ -11,12 +11,18 @@ from starprism.llm.common import forget, materialize
 SALTS = 8
 
 
+def shuffled(side: DataFrame) -> DataFrame:
+    """A join's side whose rows grow with the input: the join is shuffled, whatever size Catalyst expects. Its estimates
+    leave out what explode adds, so that by them millions of rows would be gathered on the driver and broadcast."""
+    return side.hint("merge")
+
+
 def salted_join(many: DataFrame, one: DataFrame, by: str, spread: str, salts: int = SALTS) -> DataFrame:
     """Joins rows of ``many`` with the single row that ``one`` has for a key. A key's rows are dealt to ``salts`` places by
     the column ``spread`` and its single row is copied to each, so that a hub's rows don't land in one task."""
     dealt = many.withColumn("salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     copied = one.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return dealt.join(copied, [by, "salt"]).drop("salt")
+    return dealt.join(shuffled(copied), [by, "salt"]).drop("salt")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -54,4 +60,4 @@ def connected(nodes: DataFrame, edges: DataFrame, most_rounds: int = 60) -> Data
             before = after
         else:
             raise RuntimeError("the components did not settle")
-    return nodes.join(now.groupBy("a").agg(F.min("b").alias("b")), nodes["node"] == F.col("a"), "left").select("node", F.coalesce("b", "node").alias("root"))
+    return nodes.join(shuffled(now.groupBy("a").agg(F.min("b").alias("b"))), nodes["node"] == F.col("a"), "left").select("node", F.coalesce("b", "node").alias("root"))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from starprism.llm.common import batches, id_and_text, list_parts, materialize, texts_of
-from starprism.llm.components import connected, salted_join
+from starprism.llm.components import connected, salted_join, shuffled
 
 SHINGLE_WORDS, SEED, DISTANCE = 4, 42, 4
 #: Up to so many fingerprints three segments (46 probes each, keys of 21 bits) cost less than two (562 probes, 32 bits),
@@ -119,27 +119,27 @@ def near_links(marks: DataFrame, distance: int = DISTANCE, pieces: int | None =
     sorted_ = tables(marks).repartitionByRange("seg", "key", "fp").sortWithinPartitions("seg", "key", "fp").select("key", "fp", "seg")
     chained = materialize(sorted_.mapInArrow(_runs(distance), "a long, b long").distinct(), "chains")
     first = connected(marks.select(F.col("fp").alias("node")), chained)
-    labelled = materialize(marks.select("fp").join(first.withColumnRenamed("node", "fp"), "fp"), "labelled")  # fp, root
+    labelled = materialize(marks.select("fp").join(shuffled(first.withColumnRenamed("node", "fp")), "fp"), "labelled")  # fp, root
     stored = materialize(tables(labelled, "root"), "tables")
     keys = [_ball_keys(i, *x) for i, x in enumerate(cut)]
     probes = labelled.select("fp", "root", F.explode(F.concat(*keys)).alias("t")).select("fp", "root", "t.seg", "t.key")
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= distance
     apart = F.col("root") != F.col("other")
-    members = stored.select("seg", "key", F.col("root").alias("other"), F.col("fp").alias("fp2"))
+    members = shuffled(stored.select("seg", "key", F.col("root").alias("other"), F.col("fp").alias("fp2")))
     crowded = materialize(stored.groupBy("seg", "key").count().where(F.col("count") > crowd).select("seg", "key"), "crowded")
     if crowded.take(1):
         few = members.join(crowded, ["seg", "key"], "left_anti")
-        many = probes.join(crowded, ["seg", "key"], "left_semi")
+        many = shuffled(probes).join(crowded, ["seg", "key"], "left_semi")
         labels_there = members.join(crowded, ["seg", "key"], "left_semi")
-        asked = many.join(labels_there.select("seg", "key", "other").distinct(), ["seg", "key"]).where(apart)
-        pairs = probes.join(few, ["seg", "key"]).where(apart & near).select("root", "other").union(asked.join(labels_there, ["seg", "key", "other"]).where(near).select("root", "other"))
+        asked = many.join(shuffled(labels_there.select("seg", "key", "other").distinct()), ["seg", "key"]).where(apart)
+        pairs = probes.join(shuffled(few), ["seg", "key"]).where(apart & near).select("root", "other").union(asked.join(shuffled(labels_there), ["seg", "key", "other"]).where(near).select("root", "other"))
     else:
         pairs = probes.join(members, ["seg", "key"]).where(apart & near)
     links = materialize(pairs.select(F.col("root").alias("a"), F.col("other").alias("b")).distinct(), "links")
     roots = materialize(labelled.select(F.col("root").alias("node")).distinct(), "roots")
     second = connected(roots, links).select(F.col("node").alias("root"), F.col("root").alias("top"))
     # labels are summed within roots first; what is joined by a root is dealt by the fingerprint too
-    reps = materialize(labelled.join(marks, "fp").groupBy("root").agg(F.min("rep").alias("rep")).join(second, "root"), "root-reps")
+    reps = materialize(labelled.join(shuffled(marks), "fp").groupBy("root").agg(F.min("rep").alias("rep")).join(shuffled(second), "root"), "root-reps")
     tops = reps.groupBy("top").agg(F.min("rep").alias("label"))
     named = salted_join(reps, tops, "top", "root").select("root", "label")
     return salted_join(labelled, named, "root", "fp").select("fp", "label")
