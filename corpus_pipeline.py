@@ -6,8 +6,8 @@ and repeated rows are judged each for itself. Helper columns get names that no c
 table gives an empty one; null and empty texts are not toxic evidence, are one group of near duplicates, hold no passage
 and no secret, and pack as their end id.
 
-The similar-text stage links texts whose runs of five words have a Jaccard similarity of 0.8 or more; op3's SimHash
-contract (runs of four words, 4 bits) binds that query alone.
+The similar-text stage links texts whose runs of five words have a Jaccard similarity of 0.8 or more: candidates of op3's
+SimHash multi-index (4 bits) and, as such texts can differ in more bits, of MinHash bands, checked on whole shingle sets.
 """
 
 from __future__ import annotations

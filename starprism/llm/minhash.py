@@ -1,4 +1,5 @@
-"""Near-duplicate groups by exact Jaccard similarity of word shingles; candidates by MinHash bands."""
+"""Near-duplicate groups by exact Jaccard similarity of word shingles; candidates by SimHash with multi-index hashing, and
+by MinHash bands for pairs whose fingerprints differ in more bits."""
 
 from __future__ import annotations
 
@@ -12,7 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from starprism.llm.common import batches, checked, list_parts, materialize, pair_keys, parts_of, releasing, row_id_and_text, texts_of
-from starprism.llm.components import connected
+from starprism.llm import simhash
+from starprism.llm.components import connected, shuffled
 
 SHINGLE_WORDS, SEED = 5, 42
 #: A pair is near if 9 * common >= 4 * (n + m): Jaccard similarity of at least 4/5, in whole numbers.
@@ -47,14 +49,16 @@ def _set_id(found: np.ndarray) -> int:
 
 
 def _signed(rows: DataFrame) -> DataFrame:
-    """rid, doc_id, set and sign (two hashes of the shingles), n (their number) and bands, from rid, doc_id, text."""
+    """rid, doc_id, set and sign (two hashes of the shingles), n (their number), fp (their SimHash) and bands, from rid,
+    doc_id, text."""
 
     def signed(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts_of(found, 400):
-            sets, sizes, signatures = [], [], np.zeros((batch.num_rows, BANDS, ROWS), np.uint64)
+            sets, sizes, prints, signatures = [], [], [], np.zeros((batch.num_rows, BANDS, ROWS), np.uint64)
             for i, own in enumerate(shingles(texts_of(batch))):
                 sets.append(_set_id(own))
                 sizes.append(len(own))
+                prints.append(simhash.simhash(own))
                 if len(own):
                     signatures[i] = least_hashes(own).reshape(BANDS, ROWS)
             size = np.array(sizes, np.int64)
@@ -66,9 +70,9 @@ def _signed(rows: DataFrame) -> DataFrame:
                 sign = pair_keys(sign, key[:, i])
             offsets = np.concatenate([[0], np.cumsum(np.where(size > 0, BANDS, 0))]).astype(np.int32)
             bands = pa.ListArray.from_arrays(pa.array(offsets), pa.array(key[size > 0].reshape(-1).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(sets, np.uint64).view(np.int64)), pa.array(sign.view(np.int64)), pa.array(size), bands], ["rid", "doc_id", "set", "sign", "n", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(sets, np.uint64).view(np.int64)), pa.array(sign.view(np.int64)), pa.array(size), pa.array(np.array(prints, np.uint64).view(np.int64)), bands], ["rid", "doc_id", "set", "sign", "n", "fp", "bands"])
 
-    return rows.mapInArrow(releasing(signed), "rid long, doc_id long, set long, sign long, n long, bands array<long>")
+    return rows.mapInArrow(releasing(signed), "rid long, doc_id long, set long, sign long, n long, fp long, bands array<long>")
 
 
 def _neighbours(found: Iterator[pa.RecordBatch], back: int = 2) -> Iterator[pa.RecordBatch]:
@@ -85,18 +89,58 @@ def _neighbours(found: Iterator[pa.RecordBatch], back: int = 2) -> Iterator[pa.R
         key, set_ = key[-back:], set_[-back:]
 
 
+def _print_pairs(marks: DataFrame) -> DataFrame:
+    """Pairs a, b of nodes by SimHash: of one fingerprint, and of fingerprints that the multi-index links. Each
+    fingerprint's first node stands for it."""
+    prints = materialize(marks.where("n > 0").groupBy("fp").agg(F.min("node").alias("rep")), "prints")
+    alike = marks.where("n > 0").select("fp", "node").join(shuffled(prints), "fp").where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
+    near = simhash.near_pairs(prints)
+    for name in ("a", "b"):
+        near = near.join(shuffled(prints.select(F.col("fp").alias(name), F.col("rep").alias(f"node_{name}"))), name)
+    return alike.union(near.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")))
+
+
+#: Bytes of a set's histogram: how many of its shingles have each value of their upper byte.
+_CELLS = 256
+
+
+def histogram(found: np.ndarray) -> bytes:
+    return np.minimum(np.bincount((found >> np.uint64(56)).astype(np.int64), minlength=_CELLS), 255).astype(np.uint8).tobytes()
+
+
+def can_be_near(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Whether sets of n and m shingles with these histograms (a row each) can reach the threshold. Common shingles fall in
+    the same cell, so that the lesser counts bound them from above; what counts over 255 leave out is added."""
+    most = np.minimum(x, y).sum(axis=1, dtype=np.int64) + np.minimum(n - x.sum(axis=1, dtype=np.int64), m - y.sum(axis=1, dtype=np.int64))
+    return most * _COMMON >= _BOTH * (n + m)
+
+
+def _likely(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs a, b that can be near, from a, b, n, m and histograms x, y."""
+    cells = lambda column: np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, _CELLS)
+    for batch in found:
+        near = can_be_near(cells(batch.column(4)), cells(batch.column(5)), batch.column(2).to_numpy(), batch.column(3).to_numpy())
+        yield batch.select(["a", "b"]).filter(pa.array(near))
+
+
 def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The pairs a, b of rows whose similarity reaches the threshold, by their whole shingle sets."""
+    """The pairs a, b of rows whose similarity reaches the threshold, by their whole shingle sets. Only the sets of pairs
+    whose histograms allow that are brought together."""
     pairs = materialize(pairs, "candidates")
     asked = checked(pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), "asked")  # texts then aren't shuffled
 
     def listed(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts_of(found, 400):
             own = list(shingles(texts_of(batch)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.view(np.int64) for x in own], pa.list_(pa.int64()))], ["rid", "own"])
-
-    sets = materialize(rows.join(asked, "rid", "left_semi").select("rid", "text").mapInArrow(releasing(listed), "rid long, own array<long>"), "shingles")
-    met = pairs.join(sets.select(F.col("rid").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("rid").alias("b"), F.col("own").alias("y")), "b")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in own], pa.int64()), pa.array([histogram(x) for x in own], pa.binary()), pa.array([x.view(np.int64) for x in own], pa.list_(pa.int64()))], ["rid", "n", "cells", "own"])
+
+    sets = materialize(rows.join(asked, "rid", "left_semi").select("rid", "text").mapInArrow(releasing(listed), "rid long, n long, cells binary, own array<long>"), "shingles")
+    brief = lambda rid, n, cells: sets.select(F.col("rid").alias(rid), F.col("n").alias(n), F.col("cells").alias(cells))
+    both = pairs.join(brief("a", "n", "x"), "a").join(brief("b", "m", "y"), "b").select("a", "b", "n", "m", "x", "y")
+    likely = materialize(both.mapInArrow(releasing(_likely), "a long, b long"), "likely")
+    wanted = checked(likely.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), "wanted")
+    sets = sets.join(wanted, "rid", "left_semi")
+    met = likely.join(sets.select(F.col("rid").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("rid").alias("b"), F.col("own").alias("y")), "b")
     return materialize(met.where(_COMMON * F.size(F.array_intersect("x", "y")) >= _BOTH * (F.size("x") + F.size("y"))).select("a", "b"), "links")
 
 
@@ -106,20 +150,22 @@ def kept_rows(docs: DataFrame, own: str) -> DataFrame:
     ``own`` is the column that tells the rows of ``docs`` apart (``common.with_row_id``). Texts are linked if their
     5-word shingles have a Jaccard similarity of 0.8 or more; groups are what links reach. A text that is null or blank
     has no shingles; all of these are one group. Rows of one set of shingles (by its size and two hashes, 128 bits)
-    are one class, which its first row stands for. Candidates share one of 32 bands; those next to each other in a
-    bucket are compared first, then all of different components, so that a dense group isn't compared pair by pair.
+    are one class, which its first row stands for. Candidates are op3's: SimHash fingerprints (of these shingles) within 4
+    bits, by multi-index hashing. Texts of a similarity of 0.8 mostly differ in more bits (some 10), so that texts that
+    share one of 32 bands are candidates, too: those next to each other in a bucket are compared at once with the former,
+    then all of different components, so that a dense group isn't compared pair by pair.
     """
     batches(docs.sparkSession)
     rows = row_id_and_text(docs, own)
     signed = materialize(_signed(rows), "signatures")
     first_row = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("rep")
-    classes = signed.groupBy("set", "sign", "n").agg(first_row, F.first("bands").alias("bands"))
-    marks = materialize(classes.select(F.col("rep.rid").alias("node"), "n", "rep", "bands"), "sets")
+    classes = signed.groupBy("set", "sign", "n").agg(first_row, F.first("fp").alias("fp"), F.first("bands").alias("bands"))
+    marks = materialize(classes.select(F.col("rep.rid").alias("node"), "n", "fp", "rep", "bands"), "sets")
     # two orders for all buckets: rows that share many buckets are mostly neighbours of the same rows in all of them
     order = F.xxhash64(F.pmod("key", F.lit(2)), "node").alias("o")
     each = marks.select("node", F.explode("bands").alias("key"))
     dealt = each.select("key", "node", order).repartitionByRange("key", "o").sortWithinPartitions("key", "o").select("key", "node")
-    first = connected(marks.select("node"), _verified(dealt.mapInArrow(releasing(_neighbours), "a long, b long").distinct(), rows))
+    first = connected(marks.select("node"), _verified(dealt.mapInArrow(releasing(_neighbours), "a long, b long").union(_print_pairs(marks)).distinct(), rows))
     labelled = materialize(first, "labelled")  # node, root
     members = marks.join(labelled, "node").select("node", "n", "root", F.explode("bands").alias("key"))
     mixed = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")

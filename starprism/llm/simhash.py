@@ -104,8 +104,9 @@ def _runs(distance: int, back: int = 8):
     return linked
 
 
-def near_links(marks: DataFrame, distance: int = DISTANCE, pieces: int | None = None, crowd: int = 1000) -> DataFrame:
-    """Component per fingerprint: fp, label (the smallest ``rep`` of its component). ``marks``: distinct fp with rep.
+def _multi_index(marks: DataFrame, distance: int, pieces: int | None, crowd: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links that join all fingerprints fp of ``marks`` which links of ``distance`` reach: those of the first pass (a, b),
+    the first pass's components (fp, root), and links between these (root, other, fp, fp2).
 
     Exact, by multi-index hashing with two passes that spare dense groups from comparing all pairs:
     1. the fingerprints, sorted by each segment, are linked to near neighbours in that order, which joins most of a
@@ -132,9 +133,21 @@ def near_links(marks: DataFrame, distance: int = DISTANCE, pieces: int | None =
         many = shuffled(probes).join(crowded, ["seg", "key"], "left_semi")
         labels_there = members.join(crowded, ["seg", "key"], "left_semi")
         asked = many.join(shuffled(labels_there.select("seg", "key", "other").distinct()), ["seg", "key"]).where(apart)
-        pairs = probes.join(shuffled(few), ["seg", "key"]).where(apart & near).select("root", "other").union(asked.join(shuffled(labels_there), ["seg", "key", "other"]).where(near).select("root", "other"))
+        pairs = probes.join(shuffled(few), ["seg", "key"]).where(apart & near).select("root", "other", "fp", "fp2").union(asked.join(shuffled(labels_there), ["seg", "key", "other"]).where(near).select("root", "other", "fp", "fp2"))
     else:
-        pairs = probes.join(members, ["seg", "key"]).where(apart & near)
+        pairs = probes.join(members, ["seg", "key"]).where(apart & near).select("root", "other", "fp", "fp2")
+    return chained, labelled, pairs
+
+
+def near_pairs(marks: DataFrame, distance: int = DISTANCE, pieces: int | None = None, crowd: int = 1000) -> DataFrame:
+    """Pairs a, b of near fingerprints that join all which links reach (not every pair of a dense group)."""
+    chained, _, pairs = _multi_index(marks, distance, pieces, crowd)
+    return chained.union(pairs.groupBy("root", "other").agg(F.min("fp").alias("a"), F.min_by("fp2", "fp").alias("b")).select("a", "b"))
+
+
+def near_links(marks: DataFrame, distance: int = DISTANCE, pieces: int | None = None, crowd: int = 1000) -> DataFrame:
+    """Component per fingerprint: fp, label (the smallest ``rep`` of its component). ``marks``: distinct fp with rep."""
+    _, labelled, pairs = _multi_index(marks, distance, pieces, crowd)
     links = materialize(pairs.select(F.col("root").alias("a"), F.col("other").alias("b")).distinct(), "links")
     roots = materialize(labelled.select(F.col("root").alias("node")).distinct(), "roots")
     second = connected(roots, links).select(F.col("node").alias("root"), F.col("root").alias("top"))

@@ -105,3 +105,21 @@ def test_nothing_that_grows_is_broadcast(spark):
     after = store.executionsList(int(before), int(store.executionsCount() - before))
     plans = [after.apply(i).physicalPlanDescription() for i in range(after.size())]
     assert len(plans) > 5 and any("SortMergeJoin" in p for p in plans) and not [p for p in plans if "BroadcastExchange" in p]
+
+
+def test_near_pairs_join_what_links_reach(spark):
+    r = random.Random(8)
+    prints = {r.getrandbits(64) for _ in range(20)}
+    for c in sorted(prints):
+        prints |= {c ^ 1 << r.randrange(64) ^ 1 << r.randrange(64) for _ in range(6)}
+    prints = sorted(prints)
+    roots = by_force(prints, 4)
+    marks = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p, i) for i, p in enumerate(prints)], "fp long, rep long")
+    pairs = [(x.a % (1 << 64), x.b % (1 << 64)) for x in simhash.near_pairs(marks).collect()]
+    assert pairs and all((a ^ b).bit_count() <= 4 for a, b in pairs)
+    label = {p: p for p in prints}
+    for _ in prints:
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+    at = {p: i for i, p in enumerate(prints)}
+    assert [at[label[p]] for p in prints] == roots
