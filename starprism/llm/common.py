@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 _own_dir: list[str] = []
 _shipped: set[str] = set()
+_kept: dict[tuple, object] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -92,12 +93,27 @@ def parts_of(found: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBa
             yield batch.slice(a, rows)
 
 
-def releasing(each: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def kept(key: tuple, make: Callable):
+    """What this worker keeps for its later tasks, made on first use."""
+    if key not in _kept:
+        _kept[key] = make()
+    return _kept[key]
+
+
+def drop_kept() -> None:
+    """Called by name: a nested function that is shipped by value would carry a copy of the dictionary."""
+    _kept.clear()
+
+
+def releasing(each: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keeps: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The function of batches, which at its end gives free memory back to the system: Python workers stay for later tasks
-    and stages, and what the allocators keep for themselves would count against the executor all that time."""
+    and stages, and what the allocators keep for themselves would count against the executor all that time. One that
+    doesn't use what the worker ``kept`` drops it first: it is left from another stage."""
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
+            if not keeps:
+                drop_kept()
             yield from each(found)
         finally:
             pa.default_memory_pool().release_unused()

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starprism.llm.common import batches, id_and_text, materialize, releasing, texts_of
+from starprism.llm.common import batches, id_and_text, materialize, parts_of, releasing, texts_of
 from starprism.llm.tokens import encoder, tokenizer_path
 
 END_ID = 1
@@ -63,8 +63,8 @@ def document_pieces(docs: DataFrame, path: str, capacity: int = 4096, ids: bool
     column holds each piece's ids. A null text counts as empty (one piece: the end id alone)."""
 
     def pieces(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(path, spaces=False)
-        for batch in found:
+        coder = encoder(path, False, 150_000, 1_000_000)
+        for batch in parts_of(found, 200):  # encoding takes many times a batch's bytes
             all_ids, ends = coder.encode(texts_of(batch))
             n = len(ends) - 1
             whole = np.insert(all_ids.astype("<u4"), ends[1:], END_ID)
@@ -85,7 +85,7 @@ def document_pieces(docs: DataFrame, path: str, capacity: int = 4096, ids: bool
             yield pa.RecordBatch.from_arrays(out, names)
 
     batches(docs.sparkSession)
-    return id_and_text(docs).mapInArrow(releasing(pieces), PIECES + (", ids array<int>" if ids else ""))
+    return id_and_text(docs).mapInArrow(releasing(pieces, keeps=True), PIECES + (", ids array<int>" if ids else ""))
 
 
 def _packer(names: list[str], capacity: int, round_no: int, pass_on: int):

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starprism.llm.common import batches, id_and_text, releasing, texts_of
+from starprism.llm.common import batches, id_and_text, parts_of, releasing, texts_of
 
 # fixed values: the three base patterns
 ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -165,7 +165,7 @@ def redact(docs: DataFrame, reach: int | None = None) -> DataFrame:
     at = schema.fieldNames().index("text")
 
     def masked(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in found:
+        for batch in parts_of(found, 800):
             texts = []
             for text in batch.column(at).to_pylist():
                 base = base_spans(text) if text else []

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from starprism.llm.common import Rows, list_parts, spread
+from starprism.llm.common import Rows, kept, list_parts, spread
 
 _SPLIT = re.compile(r"(?<=[^\s\x1c-\x1f\x85]) (?=[^\s\x1c-\x1f\x85])")
 
@@ -26,14 +26,11 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 _SPACE, _LINE, _WORD_END = "\u0120", "\u010a", "</w>"  # fixed values: how the vocabularies write a space, a line end and a word's end
-_ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str, spaces: bool) -> Encoder:
-    """The worker's encoder for a file; its cache serves all tasks that the worker runs."""
-    if (path, spaces) not in _ENCODERS:
-        _ENCODERS[path, spaces] = Encoder(path, spaces)
-    return _ENCODERS[path, spaces]
+def encoder(path: str, spaces: bool, most_words: int = 600_000, most_ids: int = 4_000_000) -> Encoder:
+    """The worker's encoder for a file; its cache serves all tasks that the worker runs, until one of another kind drops it."""
+    return kept((path, spaces, most_words, most_ids), lambda: Encoder(path, spaces, most_words, most_ids))
 
 
 def _ragged(parts: pa.Array) -> pa.Array:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from starprism.llm.common import Rows, WordCache, batches, free_name, id_and_text, list_parts, releasing, remainder, spread, texts_of
+from starprism.llm.common import Rows, WordCache, batches, free_name, id_and_text, list_parts, parts_of, releasing, remainder, spread, texts_of
 from starprism.llm.nn import Adam, both_back, both_ways, glorot, sigmoid
 from starprism.llm.sampling import stratified
 
@@ -253,8 +253,8 @@ def _scorer(held, at: str, name: str):
 
     def scored(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
-        cache, rows = WordCache(150_000, 4_000_000), Rows((6 * HIDDEN,), np.float32)
-        for batch in found:
+        cache, rows = WordCache(80_000, 2_500_000), Rows((6 * HIDDEN,), np.float32)
+        for batch in parts_of(found, 400):
             out = np.zeros(batch.num_rows)
             if model is not None:
                 if cache.full():

@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 from tests.llm.conftest import CASES, WORDS, prose
 
-from starprism.llm import decontamination, minhash
+from starprism.llm import common, decontamination, minhash
 
 
 def written(spark, folder, **tables):
@@ -96,3 +96,14 @@ def test_histograms_rule_out_no_near_pair():
             assert can or 9 * common < 4 * (len(x) + len(y))
     x, y = (np.unique(r.integers(0, 1 << 63, 300).astype(np.uint64) * np.uint64(2)) for _ in range(2))
     assert not minhash.can_be_near(cells(x), cells(y), np.array([len(x)]), np.array([len(y)]))[0]
+
+
+def test_workers_drop_what_other_stages_kept():
+    made = []
+    make = lambda: made.append(1) or "encoder"
+    user = common.releasing(lambda found: (common.kept(("test", 1), make) for _ in found), keeps=True)
+    other = common.releasing(lambda found: (x for x in found))
+    assert list(user([1, 2])) == list(user([1, 2])) and len(made) == 1
+    assert list(other([3])) == [3] and not common._kept
+    assert list(user([1])) == ["encoder"] and len(made) == 2
+    common.drop_kept()
