@@ -123,18 +123,20 @@ def _likely(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(near))
 
 
-def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The pairs a, b of rows whose similarity reaches the threshold, by their whole shingle sets. Only the sets of pairs
-    whose histograms allow that are brought together."""
-    pairs = materialize(pairs, "candidates")
-    asked = checked(pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), "asked")  # texts then aren't shuffled
+def _sets(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """rid, n, cells (the histogram) and own (the shingles, ascending) of the rows whose rid is in ``asked``."""
 
     def listed(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts_of(found, 400):
             own = list(shingles(texts_of(batch)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in own], pa.int64()), pa.array([histogram(x) for x in own], pa.binary()), pa.array([x.view(np.int64) for x in own], pa.list_(pa.int64()))], ["rid", "n", "cells", "own"])
 
-    sets = materialize(rows.join(asked, "rid", "left_semi").select("rid", "text").mapInArrow(releasing(listed), "rid long, n long, cells binary, own array<long>"), "shingles")
+    return materialize(rows.join(asked, "rid", "left_semi").select("rid", "text").mapInArrow(releasing(listed), "rid long, n long, cells binary, own array<long>"), "shingles")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs a, b of rows whose similarity reaches the threshold, by their whole shingle sets. Only the sets of pairs
+    whose histograms allow that are brought together."""
     brief = lambda rid, n, cells: sets.select(F.col("rid").alias(rid), F.col("n").alias(n), F.col("cells").alias(cells))
     both = pairs.join(brief("a", "n", "x"), "a").join(brief("b", "m", "y"), "b").select("a", "b", "n", "m", "x", "y")
     likely = materialize(both.mapInArrow(releasing(_likely), "a long, b long"), "likely")
@@ -144,6 +146,62 @@ def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     return materialize(met.where(_COMMON * F.size(F.array_intersect("x", "y")) >= _BOTH * (F.size("x") + F.size("y"))).select("a", "b"), "links")
 
 
+#: Sets sampled to tell frequent shingles, and the most that are told. They only set the order; any order finds every pair.
+SAMPLE, FREQUENT = 20_000, 100_000
+
+
+def _frequent(sets: DataFrame, n_sets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Frequent shingles, ascending, and their counts in the sample. So few pass the least count that the driver can hold them."""
+    some = sets.where(F.pmod(F.xxhash64("rid"), F.lit(max(1, -(-n_sets // SAMPLE)))) == 0)
+    least = max(2, -(-(some.agg(F.sum("n")).first()[0] or 0) // FREQUENT))
+    found = some.select(F.explode("own").alias("token")).groupBy("token").count().where(F.col("count") >= least).toArrow()
+    token, count = (found.column(i).to_numpy() for i in (0, 1))
+    order = np.argsort(token.view(np.uint64))
+    return token.view(np.uint64)[order], count[order]
+
+
+def prefix(found: np.ndarray, token: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """A set's first shingles in the order of their counts (then as numbers), as many as can be the first common one with a
+    near set no larger: with n - i shingles left from place i, 9 * (n - i) >= 4 * (n + m) for the least m, 4/5 of n."""
+    n = len(found)
+    at = np.searchsorted(token, found)
+    known = at < len(token)
+    known[known] = token[at[known]] == found[known]
+    often = np.zeros(n, np.int64)
+    often[known] = count[at[known]]
+    return found[np.argsort(often, kind="stable")][: ((_COMMON - _BOTH) * n - _BOTH * -(-4 * n // 5)) // _COMMON + 1]
+
+
+def _apart_pairs(sets: DataFrame, roots: DataFrame) -> DataFrame:
+    """Candidates a, b among ``sets`` of different root (``roots``: rid, root; few enough are broadcast): all that can
+    reach the threshold by their sizes and the places of a common shingle in their prefixes.
+
+    All sets are sorted by one order of shingles, rare ones first. Of near sets, the first common shingle stands at places
+    i and j with 9 * min(n - i, m - j) >= 4 * (n + m), so that it is in both prefixes. Texts that only have a frequent
+    passage in common, however many, don't meet, since their prefixes hold their own shingles. Within a shingle's list a
+    root's extremes are met first, then the members of those roots alone that can hold a near set."""
+    token, count = _frequent(sets, roots.count())
+
+    def posted(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts_of(found, 400):
+            flat, ends = list_parts(batch.column(2))
+            own = flat.to_numpy().view(np.uint64)
+            firsts = [prefix(own[a:b], token, count) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            sizes = np.array([len(x) for x in firsts], np.int64)
+            at = np.concatenate([np.empty(0, np.int64), *map(np.arange, sizes)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *firsts]).view(np.int64)), pa.array(at), *(pa.array(np.repeat(batch.column(i).to_numpy(), sizes)) for i in (0, 1))], ["token", "i", "rid", "n"])
+
+    posts = materialize(sets.select("rid", "n", "own").mapInArrow(releasing(posted), "token long, i long, rid long, n long").join(roots, "rid"), "postings")
+    mixed = posts.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("token")
+    posts = materialize(posts.join(checked(mixed, "mixed-tokens"), "token", "left_semi"), "mixed-postings")
+    x = posts.select("token", F.col("rid").alias("x"), F.col("root").alias("r"), "n", "i")
+    y = posts.where(f"{_COMMON} * i <= {_COMMON - 2 * _BOTH} * n").select("token", F.col("rid").alias("y"), F.col("root").alias("s"), F.col("n").alias("m"), F.col("i").alias("j"))
+    there = y.groupBy("token", "s").agg(F.max(F.col("m") - F.col("j")).alias("left"), F.min("m").alias("low"), F.max("m").alias("high"))
+    asked = x.join(shuffled(there), "token").where(f"r <> s and low <= n and 5 * high >= 4 * n and {_COMMON} * least(n - i, left) >= {_BOTH} * (n + low)").select("token", "x", "n", "i", "s")
+    met = asked.join(shuffled(y), ["token", "s"]).where(f"(m < n or m = n and y < x) and {_COMMON} * least(n - i, m - j) >= {_BOTH} * (n + m)")
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def kept_rows(docs: DataFrame, own: str) -> DataFrame:
     """rid of the row that stays of each group: that with the smallest doc_id, null last (of these the smallest row id).
 
@@ -152,8 +210,10 @@ def kept_rows(docs: DataFrame, own: str) -> DataFrame:
     has no shingles; all of these are one group. Rows of one set of shingles (by its size and two hashes, 128 bits)
     are one class, which its first row stands for. Candidates are op3's: SimHash fingerprints (of these shingles) within 4
     bits, by multi-index hashing. Texts of a similarity of 0.8 mostly differ in more bits (some 10), so that texts that
-    share one of 32 bands are candidates, too: those next to each other in a bucket are compared at once with the former,
-    then all of different components, so that a dense group isn't compared pair by pair.
+    share one of 32 bands are candidates, too: those next to each other in a bucket are compared at once with the former.
+    Then the rows of buckets that hold several components are met by rare shingles (``_apart_pairs``), which finds every
+    near pair of different components among them, so that neither a dense group nor a frequent passage is compared pair
+    by pair.
     """
     batches(docs.sparkSession)
     rows = row_id_and_text(docs, own)
@@ -165,16 +225,15 @@ def kept_rows(docs: DataFrame, own: str) -> DataFrame:
     order = F.xxhash64(F.pmod("key", F.lit(2)), "node").alias("o")
     each = marks.select("node", F.explode("bands").alias("key"))
     dealt = each.select("key", "node", order).repartitionByRange("key", "o").sortWithinPartitions("key", "o").select("key", "node")
-    first = connected(marks.select("node"), _verified(dealt.mapInArrow(releasing(_neighbours), "a long, b long").union(_print_pairs(marks)).distinct(), rows))
+    pairs = materialize(dealt.mapInArrow(releasing(_neighbours), "a long, b long").union(_print_pairs(marks)).distinct(), "candidates")
+    asked = checked(pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), "asked")  # texts then aren't shuffled
+    first = connected(marks.select("node"), _verified(pairs, _sets(rows, asked)))
     labelled = materialize(first, "labelled")  # node, root
-    members = marks.join(labelled, "node").select("node", "n", "root", F.explode("bands").alias("key"))
+    members = marks.join(labelled, "node").select("node", "root", F.explode("bands").alias("key"))
     mixed = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    members = materialize(members.join(checked(mixed, "mixed-keys"), "key", "left_semi"), "mixed")
-    side = lambda root, node, n: members.select("key", F.col("root").alias(root), F.col("node").alias(node), F.col("n").alias(n))
-    roots = members.select("key", "root").distinct()
-    apart = roots.withColumnRenamed("root", "r").join(roots.withColumnRenamed("root", "s"), "key").where("r < s")
-    across = apart.join(side("r", "x", "n"), ["key", "r"]).join(side("s", "y", "m"), ["key", "s"]).where("5 * least(n, m) >= 4 * greatest(n, m)")  # others can't reach 0.8
-    links = _verified(across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), rows)
+    meeting = checked(members.join(checked(mixed, "mixed-keys"), "key", "left_semi").select(F.col("node").alias("rid"), "root").distinct(), "mixed")
+    sets = _sets(rows, meeting)
+    links = _verified(materialize(_apart_pairs(sets, meeting), "candidates"), sets)
     of = lambda name: labelled.select(F.col("node").alias(name), F.col("root").alias(f"root_{name}"))
     joined = links.join(of("a"), "a").join(of("b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct()
     tops = connected(labelled.select(F.col("root").alias("node")).distinct(), materialize(joined, "root-links")).select(F.col("node").alias("root"), F.col("root").alias("top"))
