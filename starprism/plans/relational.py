@@ -97,7 +97,7 @@ SHARED: dict[str, tuple[str, str | None]] = {
 def _sql(text: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         views(spark, sf_dir)
-        return spark.sql(sqlcompat.heal(text))
+        return sqlcompat.run(spark, sqlcompat.heal(text))
 
     return run
 
