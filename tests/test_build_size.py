@@ -6,7 +6,7 @@ from starprism.cube import builder
 from starprism.cube.builder import Builder, owned
 from starprism.cube.engine import Engine
 from starprism.cube.model import COUNT, DISTINCT, SUM, CubeDesc, Join, Lookup, Measure, RowKey, StarModel
-from starprism.plans.star import sales_cube, views, years
+from starprism.plans.star import sales_cube, sales_model, views, years
 
 
 def norm(rows):
@@ -113,3 +113,13 @@ def test_rows_are_dealt_evenly_and_facts_are_the_joined_rows(spark, tmp_path, mo
     assert norm(base.select("f__k", "f__g", "d__name", "m__n", "m__v", "m__w").collect()) == norm(exact.collect())
     row = flat.agg(F.count("*"), F.count("v"), F.count("w"), F.count("name")).first()
     assert segment.facts == {"rows": row[0], "non_null": [c for c, n in (("d.name", row[3]), ("f.v", row[1]), ("f.w", row[2])) if n == row[0]], "lossless": []}
+
+
+def test_shards_of_many_rows_are_dealt_to_several_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(builder, "TASK_ROWS", 500)
+    views(spark, SF)
+    engine = Engine(spark, f"file://{tmp_path}/root", lambda t: spark.read.parquet(f"{SF}/{t}.parquet"))
+    found = engine.detail("d", sales_model(), shard_by="lineitem.l_orderkey")
+    files = [r["count"] for r in spark.read.parquet(found.path).groupBy(F.input_file_name()).count().collect()]
+    assert max(files) <= 1000 and sum(files) == spark.table("lineitem").count()
+    assert found.lossless == {"part", "supplier"}
